@@ -4,11 +4,28 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+PACKAGE = Path(__file__).resolve().parents[1]
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives this package's source to the executors' Python, once for each Spark context."""
+    context = spark.sparkContext
+    if getattr(context, "fairlead_shipped", False):
+        return
+    with zipfile.ZipFile(Path(tempfile.mkdtemp(prefix="fairlead-src-")) / "fairlead.zip", "w") as out:
+        for path in PACKAGE.rglob("*.py"):
+            out.write(path, path.relative_to(PACKAGE.parent))
+    context.addPyFile(out.filename)
+    context.fairlead_shipped = True
+
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -30,6 +47,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession):
+        ship(spark)
         self.spark, self.paths = spark, {}
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
