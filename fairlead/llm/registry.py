@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from fairlead.llm import exact_dedup, line_dedup, mixing, pii, url_filter
+from fairlead.llm import exact_dedup, line_dedup, mixing, pii, token_store, url_filter
 
 
 def queries():
-    found = (line_dedup.op3_line_dedup, exact_dedup.op4_exact_dedup, url_filter.op6_url_filter, pii.op8_pii, mixing.op9_mixing)
+    found = (token_store.op2_token_store, line_dedup.op3_line_dedup, exact_dedup.op4_exact_dedup, url_filter.op6_url_filter, pii.op8_pii, mixing.op9_mixing)
     return {f.__name__: f for f in found}
 
 
