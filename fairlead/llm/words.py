@@ -104,3 +104,21 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 21) ->
             to = max(row + 1, int(np.searchsorted(at, at[row] + most)))
             yield batch.slice(row, to - row)
             row = to
+
+
+def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
+    """Least of each n consecutive values, by running minima from both edges of blocks of n."""
+    if len(x) < n:
+        return x[:0]
+    blocks = np.concatenate([x, np.full(-len(x) % n, np.iinfo(x.dtype).max, x.dtype)]).reshape(-1, n)
+    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
+    back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(back[: len(x) - n + 1], ahead[n - 1 : len(x)])
+
+
+def spans_hash(h: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+    """A hash of h[start:end] for each pair."""
+    p, inv = powers(_STEP, len(h) + 1)
+    total = np.zeros(len(h) + 1, U)
+    np.cumsum(mix(h ^ U(seed)) * p[:-1], out=total[1:])
+    return mix((total[end] - total[start]) * inv[start] + (end - start).astype(U) * U(_BASE))
