@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from fairlead.llm import exact_dedup, line_dedup, mixing, pii, substring_dedup, token_store, url_filter
+from fairlead.llm import decontaminate, exact_dedup, line_dedup, mixing, pii, substring_dedup, token_store, url_filter
 
 
 def queries():
-    found = (token_store.op2_token_store, line_dedup.op3_line_dedup, exact_dedup.op4_exact_dedup, substring_dedup.op5_substring_dedup, url_filter.op6_url_filter, pii.op8_pii, mixing.op9_mixing)
+    found = (decontaminate.op1_decontaminate, token_store.op2_token_store, line_dedup.op3_line_dedup, exact_dedup.op4_exact_dedup, substring_dedup.op5_substring_dedup, url_filter.op6_url_filter, pii.op8_pii, mixing.op9_mixing)
     return {f.__name__: f for f in found}
 
 

@@ -72,9 +72,9 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return every[at[0] : at[-1]], at - at[0]
 
 
-def split(data: np.ndarray, at: np.ndarray) -> Words:
+def split(data: np.ndarray, at: np.ndarray, separator: np.ndarray = SEPARATOR) -> Words:
     inside = np.zeros(len(data) + 2, bool)
-    inside[1:-1] = ~SEPARATOR[data]
+    inside[1:-1] = ~separator[data]
     first, last = inside[1:] & ~inside[:-1], inside[:-1] & ~inside[1:]
     edge = at[(at > 0) & (at < len(data))]
     edge = edge[inside[edge] & inside[edge + 1]]  # two documents meet within a run of word bytes
