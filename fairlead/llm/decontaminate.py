@@ -40,6 +40,7 @@ BANDS = 8
 MOST_WALKS = 6
 LARGEST = 16
 BLOCK = 20_000
+FOUND = "fairlead_item_ids"
 ALNUM = np.zeros(256, bool)
 ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -200,9 +201,9 @@ class Items:
 
 
 def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
-    """docs with item_ids, the sorted ids of the items that leak into each."""
+    """docs with FOUND, the sorted ids of the items that leak into each."""
     ship(spark)
-    out = docs.withColumn("item_ids", F.expr("cast(array() AS array<bigint>)"))
+    out = docs.withColumn(FOUND, F.expr("cast(array() AS array<bigint>)"))
     rows = benchmark.select(F.col("item_id").cast("long"), "text").where("item_id IS NOT NULL").toLocalIterator()
     while items := [r for r, _ in zip(rows, range(block), strict=False)]:
         held = spark.sparkContext.broadcast(Items([r[0] for r in items], [r[1] for r in items]))
@@ -210,8 +211,8 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, block: int
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for batch in pieces(batches, "text", 1 << 20):
                 found = held.value.search(*codes(batch["text"]))
-                ids = [sorted({*old, *found.get(d, ())}) for d, old in enumerate(batch["item_ids"].to_pylist())]
-                yield batch.set_column(batch.schema.get_field_index("item_ids"), "item_ids", pa.array(ids, pa.list_(pa.int64())))
+                ids = [sorted({*old, *found.get(d, ())}) for d, old in enumerate(batch[FOUND].to_pylist())]
+                yield batch.set_column(batch.schema.get_field_index(FOUND), FOUND, pa.array(ids, pa.list_(pa.int64())))
 
         out = out.mapInArrow(run, out.schema)
     return out
@@ -219,9 +220,9 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, block: int
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = leaks(spark, load(spark, sf_dir, "documents").select("doc_id", "text"), load(spark, sf_dir, "benchmark"))
-    return found.selectExpr("doc_id", "size(item_ids) = 0 AS kept", "cast(size(item_ids) AS bigint) AS n_items", "item_ids")
+    return found.selectExpr("doc_id", f"size({FOUND}) = 0 AS kept", f"cast(size({FOUND}) AS bigint) AS n_items", f"{FOUND} AS item_ids")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents into which no item leaks."""
-    return leaks(spark, docs.drop("item_ids") if "item_ids" in docs.columns else docs, load(spark, sf_dir, "benchmark")).where("size(item_ids) = 0").drop("item_ids")
+    return leaks(spark, docs, load(spark, sf_dir, "benchmark")).where(F.size(FOUND) == 0).drop(FOUND)

@@ -117,6 +117,6 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs as often as the mix takes them; documents without words once."""
-    mixed = mix_sources(spark, docs).selectExpr("doc_id AS mixed_id", "IF(size = 0, 1L, copies) AS copies").groupBy("mixed_id").agg(F.max("copies").alias("copies")).where("copies > 0")
-    many = docs.join(mixed, docs["doc_id"].eqNullSafe(mixed["mixed_id"])).select(docs["*"], F.expr("explode(sequence(1L, copies))").alias("copy"))
-    return many.drop("copy")
+    mixed = mix_sources(spark, docs).selectExpr("doc_id AS fairlead_id", "IF(size = 0, 1L, copies) AS fairlead_copies").groupBy("fairlead_id").agg(F.max("fairlead_copies").alias("fairlead_copies")).where("fairlead_copies > 0")
+    both = docs.join(mixed, docs["doc_id"].eqNullSafe(mixed["fairlead_id"]))
+    return both.select(docs["*"], F.expr("explode(sequence(1L, fairlead_copies))").alias("fairlead_copy")).drop("fairlead_copy")
