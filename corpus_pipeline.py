@@ -1,13 +1,33 @@
-"""The corpus pipeline: stages over documents, each written and read again."""
+"""The corpus pipeline: quality, near copies, benchmark leaks, source mix, token ids.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; all but the last return
+the columns of documents. run() writes each stage's rows to the folder that driver and executors share and
+reads them again. The last stage's rows are those read back from the token files: doc_id, start, n_tokens and
+ids_crc32 of each document of the final mix, a document taken twice standing there twice.
+
+SQL can't express the classifier, the mix and the tokenizer, so ORACLE_SQL is None; the tests hold each
+stage against a plain version.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from fairlead.functions.tables import Scratch, load
+from fairlead.llm import decontaminate, jaccard_join, mixing, quality, token_store
+
+STAGES = [
+    ("quality", quality.stage),
+    ("near_copies", jaccard_join.stage),
+    ("benchmark_leaks", decontaminate.stage),
+    ("source_mix", mixing.stage),
+    ("token_ids", token_store.stage),
+]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, scratch = load(spark, sf_dir, "documents"), Scratch(spark)
+    for name, stage in STAGES:
+        docs = scratch.keep(stage(spark, docs, sf_dir), name)
     return docs
