@@ -9,12 +9,19 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+ROWS_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+ARROW_ROWS = 500
 PACKAGE = Path(__file__).resolve().parents[1]
 
 
 def ship(spark: SparkSession) -> None:
-    """Gives this package's source to the executors' Python, once for each Spark context."""
+    """Gives this package's source to the executors' Python, once for each Spark context.
+
+    Texts may be long, so Arrow batches are kept to ARROW_ROWS rows unless the session says otherwise.
+    """
     context = spark.sparkContext
+    if spark.conf.get(ROWS_SETTING) == "10000":
+        spark.conf.set(ROWS_SETTING, ARROW_ROWS)
     if getattr(context, "fairlead_shipped", False):
         return
     with zipfile.ZipFile(Path(tempfile.mkdtemp(prefix="fairlead-src-")) / "fairlead.zip", "w") as out:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-
-def entry(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/nation.parquet")
+from fairlead.plans import queries_geo
 
 
 def queries():
-    return {}
+    return dict(queries_geo.QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(queries_geo.SQL)
+
+
+def entry(spark, sf_dir):
+    return queries()["point_in_water"](spark, sf_dir)
