@@ -6,6 +6,7 @@ functions take many documents at once and run in numpy; no Python loop runs over
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -93,8 +94,8 @@ def ngrams(h: np.ndarray, n: int) -> np.ndarray:
     return mix((total[n:] - total[:-n]) * inv[: len(h) - n + 1] + U(n))
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
-    """Batches cut so that each has about `most` bytes of text, or one row; rows are never cut."""
+def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that each has about `most` bytes of text, or one row; rows are never cut. Freed memory goes back to the system at the end."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -104,6 +105,14 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 21) ->
             to = max(row + 1, int(np.searchsorted(at, at[row] + most)))
             yield batch.slice(row, to - row)
             row = to
+    release()
+
+
+def release() -> None:
+    """Returns freed memory to the system, so that an idle worker holds little."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
