@@ -117,17 +117,17 @@ def point_in_water(spark, sf_dir):
     return points.join(spatial.in_land(points, sea.shapes(spark, sf_dir), "k").withColumn("land", F.lit(True)), "k", "left").select("k", F.col("land").isNull().alias("water"))
 
 
-CELLS1 = "c AS (SELECT (1::bigint << 52) + (ix << 26) + iy AS cell, -176.0::double + 4 * ix AS cx, -72.0::double + 4 * iy AS cy FROM range(88) a(ix), range(36) b(iy))"
+CELLS0 = "c AS (SELECT (ix << 26) + iy AS cell, -176.0::double + 4 * ix AS cx, -72.0::double + 4 * iy AS cy FROM range(88) a(ix), range(36) b(iy))"
 
 
-@query(f"WITH {LAND}, {CELLS1} SELECT cell FROM c WHERE EXISTS (SELECT 1 FROM land WHERE x0 <= cx + 4 AND x1 >= cx AND y0 <= cy + 4 AND y1 >= cy)")
+@query(f"WITH {LAND}, {CELLS0} SELECT cell FROM c WHERE EXISTS (SELECT 1 FROM land WHERE x0 <= cx + 4 AND x1 >= cx AND y0 <= cy + 4 AND y1 >= cy)")
 def cells_touch_land(spark, sf_dir):
-    return spatial.touching_land(sea.GRID.all_cells(spark, 1), sea.shapes(spark, sf_dir), sea.GRID)
+    return spatial.touching_land(sea.GRID.all_cells(spark), sea.shapes(spark, sf_dir), sea.GRID)
 
 
-@query(f"WITH {LAND}, {CELLS1} SELECT cell FROM c WHERE EXISTS (SELECT 1 FROM land WHERE x0 <= cx AND x1 >= cx + 4 AND y0 <= cy AND y1 >= cy + 4)")
+@query(f"WITH {LAND}, {CELLS0} SELECT cell FROM c WHERE EXISTS (SELECT 1 FROM land WHERE x0 <= cx AND x1 >= cx + 4 AND y0 <= cy AND y1 >= cy + 4)")
 def cells_inside_land(spark, sf_dir):
-    return spatial.inside_land(sea.GRID.all_cells(spark, 1), sea.shapes(spark, sf_dir), sea.GRID)
+    return spatial.inside_land(sea.GRID.all_cells(spark), sea.shapes(spark, sf_dir), sea.GRID)
 
 
 A, B, CC, D = ("ax", "ay"), ("bx", "by_"), ("cx", "cy"), ("dx", "dy")

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from fairlead.plans import queries_geo
+from fairlead.plans import queries_geo, queries_graph, queries_misc
+
+PARTS = (queries_geo, queries_graph, queries_misc)
 
 
 def queries():
-    return dict(queries_geo.QUERIES)
+    return {name: f for part in PARTS for name, f in part.QUERIES.items()}
 
 
 def oracle_sql():
-    return dict(queries_geo.SQL)
+    return {name: sql for part in PARTS for name, sql in part.SQL.items()}
 
 
 def entry(spark, sf_dir):
-    return queries()["point_in_water"](spark, sf_dir)
+    """Routes from customers' to suppliers' pins."""
+    return queries_graph.route_distance(spark, sf_dir)
