@@ -24,6 +24,7 @@ no rows, an empty benchmark leaves all clean; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -205,7 +206,7 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, block: int
     ship(spark)
     out = docs.withColumn(FOUND, F.expr("cast(array() AS array<bigint>)"))
     rows = benchmark.select(F.col("item_id").cast("long"), "text").where("item_id IS NOT NULL").toLocalIterator()
-    while items := [r for r, _ in zip(rows, range(block), strict=False)]:
+    while items := list(islice(rows, block)):
         held = spark.sparkContext.broadcast(Items([r[0] for r in items], [r[1] for r in items]))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
