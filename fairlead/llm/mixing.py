@@ -7,7 +7,7 @@ size, and what is cut off is shared again by weight until none is above.
 A source's target is met by whole copies of it, as often as they fit, and a remaining budget. The remaining
 budget is fitted on the source's counts of documents by size: first the same part of every count, then single
 sizes in seeded order, and when what is left is small, a bounded-knapsack dynamic programme over bitsets that
-leaves the least possible. Of each size's documents, those with the least seeded hashes are taken, ranked within
+comes as near as it can. Of each size's documents, those with the least seeded hashes are taken, ranked within
 4,096 ranges of the hash so that no task ranks a whole hot group.
 
 The driver sees one row per source (the recipe); a source's counts, one row per size, are fitted by one task.
@@ -50,7 +50,7 @@ def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS,
 
 
 def fit(counts: dict[int, int], budget: int, seed: int, dp_words: int = DP_WORDS) -> dict[int, int]:
-    """How many documents of each size to take, so that their sizes sum to the budget or as little below as can be found."""
+    """How many documents of each size to take, so that their sizes sum to the budget or as near as can be found."""
     total = sum(n * c for n, c in counts.items())
     if budget <= 0 or not total:
         return {}
@@ -65,15 +65,19 @@ def fit(counts: dict[int, int], budget: int, seed: int, dp_words: int = DP_WORDS
         more = min(counts[n] - take[n], (left - dp_words) // n + 1, left // n)
         take[n] += more
         left -= n * more
-    reach, steps, mask = 1, [], (1 << (left + 1)) - 1
+    limit = left + max(order)
+    reach, steps, mask = 1, [], (1 << limit + 1) - 1
     for n in order:
-        spare, k = min(counts[n] - take[n], left // n), 1
+        spare, k = min(counts[n] - take[n], limit // n), 1
         while spare > 0 and not reach >> left & 1:
             k = min(k, spare)
             steps.append((n, k, reach))
             reach |= reach << n * k & mask
             spare, k = spare - k, k * 2
-    at = reach.bit_length() - 1
+    below = (reach & (1 << left + 1) - 1).bit_length() - 1
+    above = reach >> left
+    above = left + (above & -above).bit_length() - 1 if above else limit + left + 1
+    at = below if left - below <= above - left else above
     for n, k, before in reversed(steps):
         if not before >> at & 1:
             take[n] += k

@@ -1,6 +1,6 @@
 """Personal data in texts: patterns propose spans, checksums confirm them, context words adjust the score.
 
-Every kind has a pattern, a validator and a base score; context words within 40 characters before a span add to
+Every kind has a pattern, a validator and a base score; context words in the 40 characters before a span (back to the match before it at most) add to
 its score, and spans of at least THRESHOLD stay. E-mail, IP, card (Luhn) and phone spans that pass their validator
 start above the threshold, so context only raises their score; IBANs are confirmed by mod-97; national ids
 stand only beside a context word. Matching is leftmost and non-overlapping for each kind, and a match that fails
