@@ -195,7 +195,7 @@ def coastline_chunks(spark, sf_dir):
 
 
 @query(f"""WITH {PINS}, w AS (SELECT k, x, y, lead(x) OVER (PARTITION BY k % 10 ORDER BY k) AS x2, lead(y) OVER (PARTITION BY k % 10 ORDER BY k) AS y2 FROM pins)
-SELECT k % 10 AS line, round(sum({HAVERSINE.format('y', 'y2', 'x', 'x2')}), 5) AS nm, count(x2) AS legs FROM w GROUP BY 1""")
+SELECT k % 10 AS line, round(sum({HAVERSINE.format('y', 'y2', 'x', 'x2')}), 5) AS nm, count(*) AS legs FROM w WHERE x2 IS NOT NULL GROUP BY 1""")
 def path_lengths(spark, sf_dir):
     """Sum of the legs between consecutive points, as an array expression over each line."""
     lines = sea.pins(spark, sf_dir).groupBy((F.col("k") % 10).alias("line")).agg(F.array_sort(F.collect_list(F.struct("k", "x", "y"))).alias("p"))

@@ -94,10 +94,10 @@ def tag_filter(spark, sf_dir):
     return water_of(load(spark, sf_dir, "events").select("event_id", tags.alias("properties")), ["view", "click"]).select("event_id")
 
 
-@query("""WITH l AS (SELECT l_orderkey AS k, bool_or((l_partkey % 1440) / 4.0 - 180 BETWEEN -60 AND -20 AND (l_suppkey % 720) / 4.0 - 90 BETWEEN -80 AND 0) AS inside FROM lineitem GROUP BY 1) SELECT k AS seg_id FROM l WHERE inside""")
+@query("""WITH l AS (SELECT l_orderkey AS k, bool_or((l_partkey % 1440) / 4.0 - 180 BETWEEN -175 AND -140 AND (l_suppkey % 720) / 4.0 - 90 BETWEEN -89 AND -70) AS inside FROM lineitem GROUP BY 1) SELECT k AS seg_id FROM l WHERE inside""")
 def any_vertex_clip(spark, sf_dir):
     from fairlead.sources.geojson import clip_lines
 
     point = F.struct(((F.col("l_partkey") % 1440) / 4.0 - 180).alias("x"), ((F.col("l_suppkey") % 720) / 4.0 - 90).alias("y"))
     lines = load(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("seg_id")).agg(F.collect_list(point).alias("pts"))
-    return clip_lines(lines, (-60.0, -80.0, -20.0, 0.0)).select("seg_id")
+    return clip_lines(lines, (-175.0, -89.0, -140.0, -70.0)).select("seg_id")
