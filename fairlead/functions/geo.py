@@ -6,7 +6,7 @@ the longitude. Distances are nautical miles unless the name says degrees.
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -104,9 +104,8 @@ def shifted(ring: C, dx: C, x: str = "x", y: str = "y") -> Column:
     return F.transform(col(ring), lambda p: F.struct((p[x] + col(dx)).alias(x), p[y].alias(y)))
 
 
-def seam_copies(ring: C) -> Column:
+def seam_copies(ring: Column) -> Column:
     """A ring, and its copy on the other side of the seam if it reaches past 180 degrees."""
-    ring = col(ring)
     low, high = F.array_min(F.transform(ring, lambda p: p["x"])), F.array_max(F.transform(ring, lambda p: p["x"]))
     return F.when(high > 180.0, F.array(ring, shifted(ring, -360.0))).when(low < -180.0, F.array(ring, shifted(ring, 360.0))).otherwise(F.array(ring))
 
@@ -207,14 +206,18 @@ def edges_cross(one: Column, two: Column) -> Column:
     return F.exists(one, lambda a: F.exists(two, lambda b: proper(a, b)))
 
 
-def areas_meet(one: Column, two: Column) -> Column:
-    """Two areas, given by all their edges, share a point (touching counts)."""
+@cache  # these expressions take many calls to the JVM to build
+def areas_meet(one_name: str, two_name: str) -> Column:
+    """Two areas, given by columns of all their edges, share a point (touching counts)."""
+    one, two = F.col(one_name), F.col(two_name)
     a, b = F.element_at(one, 1), F.element_at(two, 1)
     return edges_meet(one, two) | odd_crossings(a["x1"], a["y1"], two) | odd_crossings(b["x1"], b["y1"], one)
 
 
-def area_holds(outer: Column, inner: Column) -> Column:
+@cache
+def area_holds(outer_name: str, inner_name: str) -> Column:
     """The outer area contains the inner one, whose edges may lie on its boundary."""
+    outer, inner = F.col(outer_name), F.col(inner_name)
     mid = F.element_at(inner, 1)
     return (
         F.forall(inner, lambda e: covers_point(e["x1"], e["y1"], outer) & covers_point((e["x1"] + e["x2"]) / 2, (e["y1"] + e["y2"]) / 2, outer))

@@ -8,6 +8,7 @@ Everything that reads cells goes through this class, so another grid can stand i
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,16 +47,19 @@ class QuadGrid:
     def size(self, level: Column) -> Column:
         return F.lit(self.base) / F.pow(F.lit(2.0), level)
 
-    def box(self, cell: C) -> Column:
+    @cache  # an expression takes many calls to the JVM to build
+    def box(self, cell: str) -> Column:
         size = self.size(self.level(cell))
         x, y = self.x0 + self.ix(cell) * size, self.y0 + self.iy(cell) * size
         return F.struct(x.alias("x0"), y.alias("y0"), (x + size).alias("x1"), (y + size).alias("y1"))
 
-    def center(self, cell: C) -> Column:
+    @cache
+    def center(self, cell: str) -> Column:
         box = self.box(cell)
         return F.struct(((box["y0"] + box["y1"]) / 2).alias("lat"), ((box["x0"] + box["x1"]) / 2).alias("lon"))
 
-    def ring(self, cell: C) -> Column:
+    @cache
+    def ring(self, cell: str) -> Column:
         """The cell's corners, counter-clockwise, not closed."""
         b = self.box(cell)
         return F.array(*(F.struct(b[x].alias("x"), b[y].alias("y")) for x, y in (("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"))))
@@ -70,11 +74,13 @@ class QuadGrid:
     def parent(self, cell: C, up: int = 1) -> Column:
         return self.pack(self.level(cell) - up, F.shiftright(self.ix(cell), up), F.shiftright(self.iy(cell), up))
 
-    def children(self, cell: C) -> Column:
+    @cache
+    def children(self, cell: str) -> Column:
         ix, iy = self.ix(cell) * 2, self.iy(cell) * 2
         return F.array(*(self.pack(self.level(cell) + 1, ix + i, iy + j) for i in (0, 1) for j in (0, 1)))
 
-    def ring_cells(self, cell: C, k: int) -> Column:
+    @cache
+    def ring_cells(self, cell: str, k: int) -> Column:
         """Cells at exactly k steps (all around, corners too) that lie in the grid."""
         steps = [(i, j) for i in range(-k, k + 1) for j in range(-k, k + 1) if max(abs(i), abs(j)) == k]
         level, ix, iy = self.level(cell), self.ix(cell), self.iy(cell)
@@ -86,7 +92,8 @@ class QuadGrid:
 
         return F.filter(F.array(*(one(i, j) for i, j in steps)), lambda c: c.isNotNull())
 
-    def neighbors(self, cell: C) -> Column:
+    @cache
+    def neighbors(self, cell: str) -> Column:
         return self.ring_cells(cell, 1)
 
     def all_cells(self, spark: SparkSession, level: int = 0, box: tuple[float, float, float, float] | None = None) -> DataFrame:

@@ -75,13 +75,13 @@ def cell_shapes(cells: DataFrame, grid, key: str = "cell") -> DataFrame:
 def touching_land(cells: DataFrame, shapes: DataFrame, grid, key: str = "cell", size: float = COVER) -> DataFrame:
     """Keys of cells that share a point with some land polygon."""
     pairs = box_join(cell_shapes(cells.select(key), grid, key), shapes, size)
-    return pairs.where(geo.areas_meet(F.col("cell_edges"), F.col("edges"))).select(key).distinct()
+    return pairs.where(geo.areas_meet("cell_edges", "edges")).select(key).distinct()
 
 
 def inside_land(cells: DataFrame, shapes: DataFrame, grid, key: str = "cell", size: float = COVER) -> DataFrame:
     """Keys of cells that one land polygon contains."""
     pairs = box_join(cell_shapes(cells.select(key), grid, key), shapes, size)
-    return pairs.where(geo.area_holds(F.col("edges"), F.col("cell_edges"))).select(key).distinct()
+    return pairs.where(geo.area_holds("edges", "cell_edges")).select(key).distinct()
 
 
 def crossing(segments: DataFrame, coast: DataFrame, key: str, size: float = COVER) -> DataFrame:
