@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from fairlead.functions.tables import Scratch, load
 from fairlead.llm.words import U, buffers, mix, mix1, ngrams, pieces, spans_hash, split
-from fairlead.operators.components import components
+from fairlead.operators.components import components, roots_of
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -137,22 +137,6 @@ def _children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(child(p, t, tokens[own, t]).view(np.int64)), pa.array(node[own])], names=["path", "node"])
 
 
-def roots_of(n: int, pairs: np.ndarray) -> np.ndarray:
-    """The least index connected with each of n, by pairs (2 x m)."""
-    root = np.arange(n)
-    while pairs.size:
-        low = np.minimum(root[pairs[0]], root[pairs[1]])
-        before = root.copy()
-        for end in pairs:
-            np.minimum.at(root, before[end], low)
-            np.minimum.at(root, end, low)
-        while (root != root[root]).any():
-            root = root[root]
-        if (root == before).all():
-            break
-    return root
-
-
 def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Tables of whole keys of a partition sorted by key."""
     held: list[pa.Table] = []
