@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from fairlead.functions import geo
 from fairlead.functions.tables import Scratch
 from fairlead.operators import spatial
+from fairlead.operators.subtract import Land
 from fairlead.operators.grid import QuadGrid
 
 
@@ -38,11 +39,11 @@ def coast_clearance(cells: DataFrame, coast: DataFrame, grid: QuadGrid, radius:
     return d.groupBy(F.col("point.cell").alias("cell")).agg(F.min("d").alias("d"))
 
 
-def classify(cells: DataFrame, coast: DataFrame, shapes: DataFrame, grid: QuadGrid, threshold: float, radius: float) -> DataFrame:
+def classify(cells: DataFrame, land: Land, grid: QuadGrid, threshold: float, radius: float) -> DataFrame:
     """cells with `far` (beyond the threshold) and `touches` (land, asked only of far cells) and `keep`."""
-    clear = coast_clearance(cells, coast, grid, threshold + radius)
+    clear = coast_clearance(cells, land.coast, grid, threshold + radius)
     asked = cells.join(clear, "cell").withColumn("far", F.coalesce(F.col("d") > threshold, F.lit(True)))
-    touch = spatial.touching_land(asked.where("far"), shapes, grid).withColumn("touches", F.lit(True))
+    touch = land.touching(asked.where("far"), grid).withColumn("touches", F.lit(True))
     return asked.join(touch, "cell", "left").withColumn("touches", F.coalesce("touches", ~F.col("far"))).withColumn("keep", F.col("far") & ~F.col("touches"))
 
 
@@ -53,12 +54,12 @@ def in_corridor(cells: DataFrame, passages: DataFrame, grid: QuadGrid) -> DataFr
     return spatial.box_join(center.withColumn("lbox", spatial.point_box("x", "y")), boxes).select("cell").distinct()
 
 
-def children_of(refine: DataFrame, shapes: DataFrame, grid: QuadGrid, passages: DataFrame | None) -> DataFrame:
+def children_of(refine: DataFrame, land: Land, grid: QuadGrid, passages: DataFrame | None) -> DataFrame:
     """Children of cells; where the parent touches land, those wholly in land go unless a corridor holds their centre."""
-    touch = spatial.touching_land(refine, shapes, grid)
+    touch = land.touching(refine, grid)
     free = refine.join(touch, "cell", "left_anti").select(F.explode(grid.children("cell")).alias("cell"))
     near = touch.select(F.explode(grid.children("cell")).alias("cell"))
-    buried = spatial.inside_land(near, shapes, grid)
+    buried = land.inside(near, grid)
     if passages is not None:
         buried = buried.join(in_corridor(buried, passages, grid), "cell", "left_anti")
     return free.unionByName(near.join(buried, "cell", "left_anti"))
@@ -83,28 +84,26 @@ def split_zones(cells: DataFrame, zone_leaf: DataFrame, grid: QuadGrid, level: i
     return both.where("leaf IS NOT NULL").select("cell", "leaf"), both.where("leaf IS NULL").select("cell")
 
 
-def cascade_cells(spark: SparkSession, land: DataFrame, config: Cascade, passages: DataFrame | None = None, box: tuple[float, float, float, float] | None = None) -> DataFrame:
+def cascade_cells(spark: SparkSession, land: Land, config: Cascade, passages: DataFrame | None = None, box: tuple[float, float, float, float] | None = None) -> DataFrame:
     """(cell) of the navigable grid, each once."""
     grid, scratch = config.grid, Scratch(spark)
-    shapes = scratch.keep(spatial.land_shapes(land), "shapes")
-    coast = scratch.keep(spatial.coast_edges(land), "coast")
     base = config.thresholds[0][0] if config.thresholds else config.leaf
     now = grid.all_cells(spark, base, box)
-    now = now.join(spatial.inside_land(now, shapes, grid), "cell", "left_anti")
+    now = now.join(land.inside(now, grid), "cell", "left_anti")
     kept = []
     for level, threshold in config.thresholds:
         radius = grid.base / 2**level * 0.75  # a little over half a diagonal
-        judged = scratch.keep(classify(now, coast, shapes, grid, threshold, radius), f"level{level}")
+        judged = scratch.keep(classify(now, land, grid, threshold, radius), f"level{level}")
         kept.append(judged.where("keep").select("cell"))
-        now = scratch.keep(children_of(judged.where("NOT keep").select("cell"), shapes, grid, passages), f"children{level}")
+        now = scratch.keep(children_of(judged.where("NOT keep").select("cell"), land, grid, passages), f"children{level}")
     special = None
     if passages is not None:
         zone_leaf = zones(passages, grid, config.zone).where(F.col("leaf") > config.leaf)
         special, now = split_zones(now, zone_leaf, grid, config.zone)
-    kept.append(now.join(spatial.touching_land(now, shapes, grid), "cell", "left_anti"))
+    kept.append(now.join(land.touching(now, grid), "cell", "left_anti"))
     level = config.leaf
     while special is not None and not special.isEmpty():
-        touch = spatial.touching_land(special.select("cell"), shapes, grid)
+        touch = land.touching(special.select("cell"), grid)
         kept.append(special.join(touch, "cell", "left_anti").select("cell"))
         level += 1
         finer = special.join(touch, "cell", "left_semi").where(F.col("leaf") >= level)

@@ -9,6 +9,7 @@ from fairlead.functions import geo
 from fairlead.operators import spatial
 from fairlead.operators.components import components
 from fairlead.operators.grid import QuadGrid
+from fairlead.operators.subtract import Land
 
 
 def same_level_edges(cells: DataFrame, grid: QuadGrid) -> DataFrame:
@@ -29,12 +30,12 @@ def with_positions(edges: DataFrame, grid: QuadGrid) -> DataFrame:
     return edges.select("a", "b", a["lat"].alias("lat1"), a["lon"].alias("lon1"), b["lat"].alias("lat2"), b["lon"].alias("lon2"))
 
 
-def graph_edges(cells: DataFrame, shapes: DataFrame, grid: QuadGrid) -> DataFrame:
+def graph_edges(cells: DataFrame, land: Land, grid: QuadGrid) -> DataFrame:
     """(a, b, weight_cnm), each pair once: links whose middle is water, weighed by distance in hundredths of a mile."""
     every = same_level_edges(cells, grid).unionByName(cross_level_edges(cells, grid)).dropDuplicates(["a", "b"])
     placed = with_positions(every, grid)
     middles = placed.withColumns({"x": geo.mid_lon("lon1", "lon2"), "y": (F.col("lat1") + F.col("lat2")) / 2, "link": F.struct("a", "b")})
-    wet = spatial.is_water(middles, shapes, "link")
+    wet = middles.join(land.holding(middles, "link"), "link", "left_anti")
     return wet.select("a", "b", geo.quantize_weight(geo.haversine_nm("lat1", "lon1", "lat2", "lon2")).alias("weight_cnm"))
 
 

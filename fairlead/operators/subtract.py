@@ -30,13 +30,13 @@ def _cut_at_meetings(edges: DataFrame, other: DataFrame, size: float) -> DataFra
     def at_t(n, p):
         return (F.col(f"{n}1") + (F.col(f"{n}2") - F.col(f"{n}1")) * F.col(f"p.{p}")).alias(f"{n}{'1' if p == 'a' else '2'}")
 
-    return parts.select("id", at_t("x", "a"), at_t("y", "a"), at_t("x", "b"), at_t("y", "b")).withColumn("piece", F.monotonically_increasing_id())
+    return parts.select("id", at_t("x", "a"), at_t("y", "a"), at_t("x", "b"), at_t("y", "b")).dropDuplicates(["x1", "y1", "x2", "y2"]).withColumn("piece", F.struct("x1", "y1", "x2", "y2"))
 
 
 def boundary(land_edges: DataFrame, water_edges: DataFrame, land: DataFrame, water: DataFrame, size: float = spatial.COVER) -> DataFrame:
     """(x1, y1, x2, y2, rbox) of what bounds land minus water: land's edges outside water, and water's edges inside land."""
     def numbered(e):
-        return e.withColumn("id", F.monotonically_increasing_id())
+        return e.withColumn("id", F.struct("x1", "y1", "x2", "y2"))
 
     def middles(e):
         return e.withColumns({"x": (F.col("x1") + F.col("x2")) / 2, "y": (F.col("y1") + F.col("y2")) / 2})
@@ -46,3 +46,50 @@ def boundary(land_edges: DataFrame, water_edges: DataFrame, land: DataFrame, wat
     outside = shore.join(spatial.in_land(shore.select("piece", "x", "y"), water, "piece", size), "piece", "left_anti")
     inside = banks.join(spatial.in_land(banks.select("piece", "x", "y"), land, "piece", size), "piece", "left_semi")
     return spatial.edge_boxes(outside.select("x1", "y1", "x2", "y2").unionByName(inside.select("x1", "y1", "x2", "y2")))
+
+
+class Land:
+    """What the cascade and the edges ask of land."""
+
+    def __init__(self, shapes: DataFrame, coast: DataFrame):
+        self.shapes, self.coast = shapes, coast
+
+    def touching(self, cells: DataFrame, grid) -> DataFrame:
+        return spatial.touching_land(cells, self.shapes, grid)
+
+    def inside(self, cells: DataFrame, grid) -> DataFrame:
+        return spatial.inside_land(cells, self.shapes, grid)
+
+    def holding(self, points: DataFrame, key: str) -> DataFrame:
+        return spatial.in_land(points, self.shapes, key)
+
+
+class DryLand(Land):
+    """Land minus water, by its boundary and by membership of points.
+
+    A cell touches it if the boundary meets the cell or the cell's centre is dry; a cell lies inside it if its centre is
+    dry and the boundary doesn't meet it. A cell whose edge runs along the boundary counts as touching only.
+    """
+
+    def __init__(self, land: DataFrame, water: DataFrame):
+        shapes, self.water = spatial.land_shapes(land), spatial.land_shapes(water)
+        super().__init__(shapes, boundary(spatial.coast_edges(land), spatial.coast_edges(water), shapes, self.water))
+
+    def _meeting(self, cells: DataFrame, grid) -> DataFrame:
+        pairs = spatial.box_join(spatial.cell_shapes(cells.select("cell"), grid), self.coast)
+        end = geo.covers_point("x1", "y1", F.col("cell_edges"))
+        cross = F.exists("cell_edges", lambda e: geo.segments_meet((F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")), (e["x1"], e["y1"], e["x2"], e["y2"])))
+        return pairs.where(end | cross).select("cell").distinct()
+
+    def _dry(self, cells: DataFrame, grid) -> DataFrame:
+        center = cells.select("cell", grid.center("cell").alias("c")).select("cell", F.col("c.lon").alias("x"), F.col("c.lat").alias("y"))
+        return dry_points(center, self.shapes, self.water, "cell")
+
+    def touching(self, cells: DataFrame, grid) -> DataFrame:
+        return self._meeting(cells, grid).unionByName(self._dry(cells, grid)).distinct()
+
+    def inside(self, cells: DataFrame, grid) -> DataFrame:
+        return self._dry(cells, grid).join(self._meeting(cells, grid), "cell", "left_anti")
+
+    def holding(self, points: DataFrame, key: str) -> DataFrame:
+        return dry_points(points, self.shapes, self.water, key)

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from fairlead.functions import geo
 from fairlead.functions.tables import Scratch
-from fairlead.operators import graph, spatial, subtract
+from fairlead.operators import graph, spatial
 from fairlead.operators.cascade import Cascade, cascade_cells
+from fairlead.operators.subtract import DryLand, Land
 from fairlead.sources import graph_store
 
 
@@ -21,17 +22,16 @@ def coastline(land: DataFrame) -> DataFrame:
 def build(spark: SparkSession, land: DataFrame, config: Cascade, passages: DataFrame | None = None, box: tuple[float, float, float, float] | None = None, water: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """nodes, edges (both ways) and coast of land(poly_id, rings); each stage is written before the next.
 
-    water(poly_id, rings) is taken off the land's boundary, so the stored coast runs along it.
+    water(poly_id, rings) is taken off the land, and the stored coast runs along what is left.
     """
     scratch, grid = Scratch(spark), config.grid
-    cells = scratch.keep(cascade_cells(spark, land, config, passages, box), "cells")
-    edges = scratch.keep(graph.graph_edges(cells, spatial.land_shapes(land), grid), "edges")
+    solid = Land(spatial.land_shapes(land), spatial.coast_edges(land)) if water is None else DryLand(land, water)
+    solid.shapes, solid.coast = scratch.keep(solid.shapes, "shapes"), scratch.keep(solid.coast, "coast")
+    cells = scratch.keep(cascade_cells(spark, solid, config, passages, box), "cells")
+    edges = scratch.keep(graph.graph_edges(cells, solid, grid), "edges")
     labels = graph.component_labels(spark, cells, edges)
     cells, edges = graph.prune(cells, edges, graph.main_component(labels))
-    coast = spatial.coast_edges(land)
-    if water is not None:
-        coast = subtract.boundary(coast, spatial.coast_edges(water), spatial.land_shapes(land), spatial.land_shapes(water))
-    coast = scratch.keep(coast, "coast")
+    coast = solid.coast
     nodes = scratch.keep(graph.nodes_of(cells, graph.shore_distance(cells, coast, grid), grid), "nodes")
     return nodes, graph.edge_rows(edges, nodes), coast
 

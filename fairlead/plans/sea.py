@@ -13,6 +13,7 @@ from fairlead.functions.tables import Scratch, load
 from fairlead.operators import graph, spatial
 from fairlead.operators.cascade import Cascade, cascade_cells
 from fairlead.operators.grid import QuadGrid
+from fairlead.operators.subtract import Land
 
 CONFIG = Cascade(thresholds=((0, 4.0), (1, 2.0)), leaf=2, zone=0, grid=QuadGrid(base=4.0, nx=88, ny=36))
 GRID = CONFIG.grid
@@ -59,12 +60,17 @@ def coast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.coast_edges(land(spark, sf_dir))
 
 
+def solid(spark: SparkSession, sf_dir: str) -> Land:
+    kept = (_once(spark, sf_dir, "sea-shapes", lambda: shapes(spark, sf_dir)), _once(spark, sf_dir, "sea-coast", lambda: coast(spark, sf_dir)))
+    return Land(*kept)
+
+
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _once(spark, sf_dir, "sea-cells", lambda: cascade_cells(spark, land(spark, sf_dir), CONFIG))
+    return _once(spark, sf_dir, "sea-cells", lambda: cascade_cells(spark, solid(spark, sf_dir), CONFIG))
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _once(spark, sf_dir, "sea-edges", lambda: graph.graph_edges(cells(spark, sf_dir), shapes(spark, sf_dir), GRID))
+    return _once(spark, sf_dir, "sea-edges", lambda: graph.graph_edges(cells(spark, sf_dir), solid(spark, sf_dir), GRID))
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,6 +23,10 @@ def land_of(spark, *polygons):
     return spark.createDataFrame(rows, "poly_id int, rings array<array<struct<x:double,y:double>>>")
 
 
+def solid(land):
+    return subtract.Land(spatial.land_shapes(land), spatial.coast_edges(land))
+
+
 def test_shapefile(spark, tmp_path):
     hole = box(2, 2, 3, 3)[::-1]
     shapefile.write(f"{tmp_path}/b.shp", [[box(0, 0, 10, 10), hole, box(20, 0, 30, 10)]])
@@ -74,8 +78,7 @@ def test_components(spark):
 def test_graph_store(spark, tmp_path):
     grid = QuadGrid(0.0, 0.0, 1.0, 4, 4)
     cells = grid.all_cells(spark)
-    shapes = spatial.land_shapes(land_of(spark, [box(1.2, 1.2, 1.4, 1.4)]))
-    edges = graph.graph_edges(cells, shapes, grid)
+    edges = graph.graph_edges(cells, solid(land_of(spark, [box(1.2, 1.2, 1.4, 1.4)])), grid)
     assert edges.count() == 42  # 24 straight and 18 diagonal
     nodes = graph.nodes_of(cells, graph.shore_distance(cells, spatial.coast_edges(land_of(spark, [box(1.2, 1.2, 1.4, 1.4)])), grid), grid)
     rows = graph.edge_rows(edges, nodes)
@@ -103,9 +106,9 @@ def test_prune(spark):
 def test_zones(spark):
     config = cascade.Cascade(thresholds=((0, 1.0),), leaf=1, zone=0, grid=QuadGrid(0.0, 0.0, 2.0, 6, 6))
     land = land_of(spark, [box(3.1, 0.5, 3.9, 11.5)], [box(4.1, 0.5, 4.9, 11.5)])  # a channel 0.2 wide
-    plain = {r.cell for r in cascade.cascade_cells(spark, land, config).collect()}
+    plain = {r.cell for r in cascade.cascade_cells(spark, solid(land), config).collect()}
     passages = spark.createDataFrame([("p", 3.5, 4.0, 4.5, 6.0, 5)], "name string, min_lon double, min_lat double, max_lon double, max_lat double, leaf_resolution int")
-    found = {r.cell for r in cascade.cascade_cells(spark, land, config, passages).collect()}
+    found = {r.cell for r in cascade.cascade_cells(spark, solid(land), config, passages).collect()}
     fine = {c for c in found if c >> 52 > 1}
     assert plain <= found and fine and max(c >> 52 for c in found) == 5
     grid = config.grid
@@ -173,3 +176,17 @@ def test_bench(spark):
     assert bench.compare(p50(2000), p50(1000), same_buffer=False).first().status == "N/A"
     assert bench.compare(p50(1010), p50(1000)).first().status == "OK"
     assert bench.compare(p50(1010), p50(1000).where("false")).first().status == "NEW"
+
+
+def test_canal(spark):
+    """A canal through an island: cells in it are water, those beside it aren't."""
+    config = cascade.Cascade(thresholds=((0, 1.0), (1, 0.5)), leaf=2, zone=0, grid=QuadGrid(0.0, 0.0, 2.0, 6, 6))
+    land, water = land_of(spark, [box(2.0, 2.0, 10.0, 10.0)]), land_of(spark, [box(5.25, 1.0, 6.75, 11.0)])
+    dry = subtract.DryLand(land, water)
+    dry.shapes, dry.coast, dry.water = dry.shapes.cache(), dry.coast.cache(), dry.water.cache()
+    cells = cascade.cascade_cells(spark, dry, config)
+    boxes = [r.b for r in cells.select(config.grid.box("cell").alias("b")).collect()]
+    across = sorted((b.x0, b.x1) for b in boxes if b.y0 == 6.0 and b.x1 - b.x0 == 0.5 and 2 <= b.x0 < 10)
+    assert across == [(5.5, 6.0), (6.0, 6.5)]
+    wet = {r.cell for r in cascade.cascade_cells(spark, solid(land), config).collect()}
+    assert not [r for r in cells.select("cell", config.grid.box("cell").alias("b")).collect() if r.cell in wet and 5.25 < r.b.x0 < 6.5 and 2.5 < r.b.y0 < 9]
