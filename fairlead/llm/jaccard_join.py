@@ -4,8 +4,9 @@ A document's set holds its runs of five words (`[^\\x20\\x09-\\x0D]+`, unchanged
 of its words). Two documents are linked if their sets' Jaccard similarity is at least SIMILARITY. Equal sets
 are combined first, before any shuffle of them, so copies are never listed in pairs.
 
-Chosen paths: each set is embedded by TOKENS minwise values, tokens whose agreement is the similarity. At a node a
-few tokens are sampled, 1 / SIMILARITY of them on average, by a hash of the node; sets that share the value of a
+Chosen paths: each set is embedded by TOKENS minwise values, tokens whose agreement is the similarity. At a root a
+few tokens are sampled, 1 / SIMILARITY of them on average, by a hash of the node; below it one, so that a group of
+near copies, which agree in nearly all tokens, isn't multiplied at each level. Sets that share the value of a
 sampled token go on to the same child. A child of up to SMALL sets is compared pair by pair on its tokens; a
 larger one is split again, up to DEPTH times. What is still together then agrees in every sampled token, and is
 handed on whole. RUNS independent trees give a pair at the threshold a chance of missing all first splits of
@@ -108,10 +109,10 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 
 def sampled(path: int) -> list[int]:
-    """The tokens that a node samples: each with a chance of 1 / (SIMILARITY * TOKENS), at least one."""
+    """The tokens that a node samples, the least draw first: each with a chance of 1 / (SIMILARITY * TOKENS), at least one."""
     draws = mix(np.arange(TOKENS, dtype=U) ^ U(mix1(path)))
     chosen = np.flatnonzero(draws < U(int(2**64 / (SIMILARITY * TOKENS))))
-    return chosen.tolist() or [int(draws.argmin())]
+    return chosen[np.argsort(draws[chosen])].tolist() or [int(draws.argmin())]
 
 
 def child(path: np.ndarray | int, token: np.ndarray | int, values: np.ndarray) -> np.ndarray:
@@ -133,8 +134,8 @@ def _children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         node = batch["node"].to_numpy()
         for p in np.unique(path):
             own = path == p
-            for t in sampled(int(p)):
-                yield pa.RecordBatch.from_arrays([pa.array(child(p, t, tokens[own, t]).view(np.int64)), pa.array(node[own])], names=["path", "node"])
+            t = sampled(int(p))[0]
+            yield pa.RecordBatch.from_arrays([pa.array(child(p, t, tokens[own, t]).view(np.int64)), pa.array(node[own])], names=["path", "node"])
 
 
 def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
