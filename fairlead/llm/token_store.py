@@ -6,7 +6,7 @@ each worker and looked up after that. A cut before a space that stands between n
 cut of the byte-level pre-tokenizer too; texts where white space meets a space are encoded whole.
 
 Format: a Parquet table with a row for each segment of whole documents (about SEGMENT tokens, or one longer
-document), in ascending doc_id order (null first; equal doc_ids in order of their ids' checksum). A segment holds,
+document), in ascending doc_id order (null first; equal doc_ids in order of their texts' checksum). A segment holds,
 for each level of CHUNK bits, an array of chunks, a bitmap that says which entries continue on the next level,
 and the rank directory of that bitmap (ones before each 512-bit block). Entry i of a level is found at
 position rank(i) of the next, so `access` reads any token with a few array reads and no block decoding. All
@@ -29,14 +29,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairlead.functions.tables import Scratch, load, shared_dir
-from fairlead.llm.words import pieces
+from fairlead.functions.tables import load, shared_dir, ship
+from fairlead.llm.words import pieces, release
 
 END = 2
 CHUNK = 8
 BLOCK = 512
 SEGMENT = 1 << 20
-CACHE = 4_000_000
+CACHE = 200_000
 GAP = r"[\t-\r\x{1c}-\x{20}\x{85}\p{Z}]"
 
 
@@ -60,7 +60,19 @@ class Encoder:
 
     def clear(self) -> None:
         self.row: dict[str, int] = {}
-        self.at, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        self.at, self.ids, self.used = np.zeros(1, np.int64), np.zeros(0, np.uint32), np.zeros(0, bool)
+
+    def prune(self) -> None:
+        """Keeps the pieces that were asked for again since the last time, if they are at most half of the cache."""
+        keep = np.flatnonzero(self.used)
+        if len(keep) > CACHE // 2:
+            return self.clear()
+        names, size = list(self.row), np.diff(self.at)[keep]
+        at = np.concatenate([[0], np.cumsum(size)])
+        self.ids = self.ids[np.repeat(self.at[keep] - at[:-1], size) + np.arange(at[-1])]
+        self.row = {names[i]: n for n, i in enumerate(keep.tolist())}
+        self.at, self.used = at, np.zeros(len(keep), bool)
+        release()
 
     def encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -80,18 +92,20 @@ class Encoder:
         self.row.update(zip(missing, range(len(self.row), len(self.row) + len(missing)), strict=True))
         self.at = np.concatenate([self.at, len(self.ids) + np.append(begin[1:], len(more))])
         self.ids = np.concatenate([self.ids, more])
+        self.used = np.append(self.used, np.zeros(len(missing), bool))
 
     def rows(self, found: list[str]) -> np.ndarray:
-        got = [self.row.get(x, -1) for x in found]
-        if missing := [x for x, i in zip(found, got, strict=True) if i < 0]:
-            self.learn(missing)
-            got = [self.row[x] for x in found]
-        return np.array(got, np.int64)
+        got = np.array([self.row.get(x, -1) for x in found], np.int64)
+        self.used[got[got >= 0]] = True
+        if len(missing := np.flatnonzero(got < 0)):
+            got[missing] = len(self.row) + np.arange(len(missing))
+            self.learn([found[i] for i in missing.tolist()])
+        return got
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, END after each text, and where each text begins (and the end)."""
         if len(self.row) > CACHE:
-            self.clear()
+            self.prune()
         texts = texts.cast(pa.large_string()).fill_null("")
         odd = pc.match_substring_regex(texts, f"{GAP} | {GAP}").to_numpy(zero_copy_only=False)
         parts = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
@@ -101,23 +115,21 @@ class Encoder:
         coded = flat.filter(pa.array(~first)).dictionary_encode()
         row = self.rows([" " + x for x in coded.dictionary.to_pylist()])[coded.indices.to_numpy(zero_copy_only=False)]
         heads = [self.encode(x) for x in flat.filter(pa.array(first)).to_pylist()]
-        length = np.zeros(len(flat), np.int64)
-        length[~first] = self.at[row + 1] - self.at[row]
-        length[first] = [len(x) for x in heads]
-        last = np.zeros(len(flat), np.int64)
-        last[at[1:] - 1] = 1
-        to = np.concatenate([[0], np.cumsum(length + last)])
-        out = np.full(to[-1], END, np.uint32)
-        size = length[~first]
-        source = np.repeat(self.at[row] - np.concatenate([[0], np.cumsum(size)[:-1]]) if len(size) else size, size) + np.arange(size.sum())
-        target = np.repeat(to[:-1][~first] - np.concatenate([[0], np.cumsum(size)[:-1]]) if len(size) else size, size) + np.arange(size.sum())
-        out[target] = self.ids[source]
-        for start, ids in zip(to[:-1][first], heads, strict=True):
-            out[start : start + len(ids)] = ids
+        ids = np.concatenate([self.ids, *heads, np.array([END], np.uint32)])
+        start = np.concatenate([self.at[:-1], self.at[-1] + np.cumsum([0] + [len(x) for x in heads])])
+        size = np.append(np.diff(start), 1).astype(np.int32)
+        known, doc = len(self.at) - 1, np.cumsum(first) - 1
+        order = np.full(len(flat) + len(heads), known + len(heads))  # after each text's pieces stays END
+        place = np.arange(len(flat)) + doc
+        order[place[~first]], order[place[first]] = row, known + np.arange(len(heads))
+        size, start = size[order], start[order]
+        to = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+        out = ids[np.repeat(start - to[:-1], size) + np.arange(to[-1])]
+        to = to[at + np.arange(len(at))]
         if not odd.any():
-            return out, to[np.append(at[:-1], len(flat))]
+            return out, to
         whole = iter([np.append(self.encode(x), np.uint32(END)) for x in texts.filter(pa.array(odd)).to_pylist()])
-        plain = iter([out[a:b] for a, b in zip(to[at[:-1]], to[at[1:]], strict=True)])
+        plain = iter([out[a:b] for a, b in zip(to[:-1], to[1:], strict=True)])
         every = [next(whole) if x else next(plain) for x in odd]
         return np.concatenate(every), np.concatenate([[0], np.cumsum([len(x) for x in every])])
 
@@ -172,48 +184,54 @@ LEVEL = pa.list_(pa.struct([("chunks", pa.binary()), ("bitmap", pa.binary()), ("
 STORE = "part int, base long, doc_ids array<long>, at array<long>, levels array<struct<chunks:binary,bitmap:binary,rank:binary>>"
 
 
-def _encode(path: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
-            ids, at = encoder(path).batch(batch["text"])
-            raw = [ids[a:b].astype("<u2" if len(ids) and ids.max() < 1 << 16 else "<u4").tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(np.diff(at)), pa.array(raw, pa.binary())], names=["doc_id", "n_tokens", "ids"])
+def _merged(batches: Iterator[pa.RecordBatch], most: int = 3 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches of about `most` bytes: the more text, the fewer distinct pieces for each word of it."""
+    held, size = [], 0
+    for batch in pieces(batches, "text", most):
+        held.append(batch)
+        size += batch.nbytes
+        if size >= most:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
-    return run
 
+def _segments(path: str):
+    """Encodes a partition of texts, which come in order, and cuts it to segments."""
 
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from pyspark import TaskContext
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-    part, base, docs, held, size = TaskContext.get().partitionId(), 0, [], [], 0
+        part, base, docs, held, size = TaskContext.get().partitionId(), 0, [], [], 0
 
-    def out():
-        at = np.concatenate([[0], np.cumsum([len(x) for x in held])])
-        return pa.RecordBatch.from_arrays(
-            [pa.array([part], pa.int32()), pa.array([base]), pa.array([docs], pa.list_(pa.int64())), pa.array([at], pa.list_(pa.int64())), pa.array([encode_levels(np.concatenate(held))], LEVEL)],
-            names=["part", "base", "doc_ids", "at", "levels"],
-        )
+        def out():
+            at = np.concatenate([[0], np.cumsum([len(x) for x in held])])
+            return pa.RecordBatch.from_arrays(
+                [pa.array([part], pa.int32()), pa.array([base]), pa.array([docs], pa.list_(pa.int64())), pa.array([at], pa.list_(pa.int64())), pa.array([encode_levels(np.concatenate(held))], LEVEL)],
+                names=["part", "base", "doc_ids", "at", "levels"],
+            )
 
-    for batch in batches:
-        for doc, n, raw in zip(*(batch[c].to_pylist() for c in ("doc_id", "n_tokens", "ids")), strict=True):
-            if size and size + n > SEGMENT:
-                yield out()
-                base, docs, held, size = base + size, [], [], 0
-            docs.append(doc)
-            held.append(np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4").astype(np.uint32))
-            size += n
-    if size:
-        yield out()
+        for batch in _merged(batches):
+            ids, at = encoder(path).batch(batch["text"])
+            for doc, lo, hi in zip(batch["doc_id"].to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                if size and size + hi - lo > SEGMENT:
+                    yield out()
+                    base, docs, held, size = base + size, [], [], 0
+                docs.append(doc)
+                held.append(ids[lo:hi])
+                size += hi - lo
+        if size:
+            yield out()
+
+    return run
 
 
 def write_store(spark: SparkSession, docs: DataFrame, path: str, tokens: str | None = None) -> None:
     """Writes docs(doc_id, text) to path/segments and path/parts."""
-    encoded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_encode(tokens or tokenizer_path()), "doc_id long, n_tokens long, ids binary")
-    scratch = Scratch(spark)
-    encoded = scratch.keep(encoded, "ids")
-    ordered = encoded.repartitionByRange(F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.crc32("ids"))
-    ordered.mapInArrow(_segments, STORE).write.parquet(f"{path}/segments")
-    scratch.free("ids")
+    ship(spark)
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.crc32(F.col("text").cast("binary")))
+    ordered.mapInArrow(_segments(tokens or tokenizer_path()), STORE).write.parquet(f"{path}/segments")
     sizes = spark.read.parquet(f"{path}/segments").groupBy("part").agg(F.max(F.col("base") + F.element_at("at", -1)).alias("n")).orderBy("part").collect()
     before = np.concatenate([[0], np.cumsum([r.n for r in sizes])]).astype(np.int64)
     spark.createDataFrame([(r.part, int(b)) for r, b in zip(sizes, before[:-1], strict=True)], "part int, before long").coalesce(1).write.parquet(f"{path}/parts")
