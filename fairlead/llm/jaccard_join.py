@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fairlead.functions.tables import Scratch, load
-from fairlead.llm.words import U, buffers, mix, mix1, ngrams, pieces, spans_hash, split
+from fairlead.llm.words import U, buffers, mix, mix1, ngrams, pieces, release, spans_hash, split
 from fairlead.operators.components import components, roots_of
 
 SHINGLE = 5
@@ -41,7 +41,7 @@ TOKENS = 64
 RUNS = 10
 DEPTH = 4
 SMALL = 1000
-BLOCK = 1000
+BLOCK = 500
 LEAST_TOKENS = 38  # of 64 equal: 4 standard deviations below the 51 expected at a similarity of 0.8
 ROWS = 4096
 LAST = np.iinfo(np.int64).max
@@ -224,6 +224,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = []
     if out:
         yield flush()
+    release()
 
 
 def candidates(spark: SparkSession, sets: DataFrame, scratch: Scratch) -> DataFrame:
