@@ -8,6 +8,9 @@ same lines, in order of doc_id (null last) and line. A line goes if a window tha
 elsewhere, so a repeated run is deleted as far as it extends, and its first occurrence stays. Positions are
 joined by window, never listed in pairs, and rows that hold the same fingerprint are spread by their window's hash.
 
+Repeats shorter than RUN lines stay, and a text under RUN lines loses nothing even as an exact copy; the README has
+figures. line_dedup takes a lower run.
+
 Defined results: rows that share doc_id and text stand at one position and are treated alike; an empty table
 gives no rows; ties can't occur otherwise, as a position is unique; other columns are ignored. Only built-in
 functions are used.

@@ -80,6 +80,22 @@ def test_lines(spark):
     assert got == {0: (4, 0, "a\nb\nc\nd"), 1: (5, 3, "x\ny"), 2: (2, 0, "a\nb"), 3: (7, 6, "q"), 4: (0, 0, ""), 5: (0, 0, ""), 6: (4, 3, "z")}
 
 
+@pytest.mark.parametrize("run", [1, 2, 3])
+def test_line_runs(spark, run):
+    rng = np.random.default_rng(4)
+    texts = ["\n".join(rng.choice(["hot", "", "a", "b", *map(str, range(40))], int(rng.integers(1, 9)))) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen, want = set(), {}
+    for i, t in enumerate(texts):
+        lines, gone = t.split("\n") if t else [], set()
+        for p in range(len(lines) - run + 1):
+            k = tuple(lines[p : p + run])
+            gone |= set(range(p, p + run)) if k in seen else set()
+            seen.add(k)
+        want[i] = (len(lines), len(gone), "\n".join(x for p, x in enumerate(lines) if p not in gone))
+    assert {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in line_dedup.line_dedup(spark, docs, run).collect()} == want
+
+
 def removed_words(rows, window=50):
     least = {}
     words = [(order(i), WORD.findall(t)) for i, t in rows]
