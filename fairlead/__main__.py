@@ -12,6 +12,7 @@ def main() -> None:
     b.add_argument("shapefile")
     b.add_argument("graph")
     b.add_argument("--bbox")
+    b.add_argument("--water", help="folder of <passage>-water.geojson, for each passage with canal water that meets the box")
     r = sub.add_parser("route", help="requests (Parquet) to answers (Parquet)")
     r.add_argument("graph")
     r.add_argument("requests")
@@ -31,15 +32,17 @@ def main() -> None:
     from pyspark.sql import functions as F
 
     from fairlead.operators import kernel
-    from fairlead.operators.cascade import Cascade
+    from fairlead.operators.cascade import PLANET
     from fairlead.plans import bench, build, passages, routes
     from fairlead.sources import geojson, graph_store, shapefile
 
-    spark, config = SparkSession.builder.getOrCreate(), Cascade()
-    grid, levels = config.grid, range(config.leaf + 1)
+    spark, config = SparkSession.builder.getOrCreate(), PLANET
+    grid, levels = config.grid, range(max(passages.LEVELS.values()) + 1)
     if args.what == "build":
         land = shapefile.read_land(spark, args.shapefile).select(F.struct("path", "shape", "poly").alias("poly_id"), "rings")
-        faults = build.run(spark, land, args.graph, config, box=passages.parse_box(args.bbox) if args.bbox else None)
+        box = passages.parse_box(args.bbox) if args.bbox else None
+        found = passages.of_planet(spark, box)
+        faults = build.run(spark, land, args.graph, config, passages=found, box=box, water=passages.canal_water(spark, found, args.water))
         raise SystemExit("; ".join(faults) or 0)
     nodes, edges, coast = graph_store.load(spark, args.graph)
     if args.what == "geojson":

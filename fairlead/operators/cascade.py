@@ -3,7 +3,8 @@
 A fixed number of rounds, one for each level, each written to the shared folder: a level's cells that are far from
 the coast and free of land are kept, the others give way to their children, of which those wholly in land go (but
 for those whose centre lies in a passage corridor). On the leaf level only cells free of land are kept; leaf
-cells in passage zones are refined further, up to the passage's own level.
+cells in passage zones are refined further, up to the passage's own level; those wholly in land go, as cells of this
+grid lie within their parents and theirs would too.
 """
 
 from __future__ import annotations
@@ -30,12 +31,23 @@ class Cascade:
     grid: QuadGrid = field(default_factory=QuadGrid)
 
 
+#: The whole globe, from 1 degree down to 1/1024. The survey's thresholds belong to a grid whose cells shrink by the square
+#: root of 7 a level; each level here takes that of the finest survey level whose cells, by area, are no smaller.
+PLANET = Cascade(
+    thresholds=((0, 0.30), (1, 0.30), (2, 0.15), (3, 0.05), (4, 0.05), (5, 0.025), (6, 0.012), (7, 0.012), (8, 0.005), (9, 0.002)),
+    leaf=10,
+    zone=3,
+    grid=QuadGrid(-180.0, -90.0, 1.0, 360, 180),
+)
+
+
 def coast_clearance(cells: DataFrame, coast: DataFrame, grid: QuadGrid, radius: float) -> DataFrame:
     """(cell, d): least distance in degrees from a cell's centre and corners to the coast within the radius; null if none."""
     center = grid.center("cell")
     points = F.concat(F.array(F.struct(center["lon"].alias("x"), center["lat"].alias("y"))), grid.ring("cell"))
     asked = cells.select("cell", F.posexplode(points).alias("i", "p")).select("cell", F.struct("cell", "i").alias("point"), "p.*")
-    d = spatial.coast_distance_deg(asked, coast, "point", radius, max(spatial.COVER, radius))
+    cover = min(max(spatial.COVER, radius), max(4 * radius, 0.1))  # fine levels meet only the edges near them
+    d = spatial.coast_distance_deg(asked, coast, "point", radius, cover)
     return d.groupBy(F.col("point.cell").alias("cell")).agg(F.min("d").alias("d"))
 
 
@@ -100,6 +112,7 @@ def cascade_cells(spark: SparkSession, land: Land, config: Cascade, passages: Da
     if passages is not None:
         zone_leaf = zones(passages, grid, config.zone).where(F.col("leaf") > config.leaf)
         special, now = split_zones(now, zone_leaf, grid, config.zone)
+        special = scratch.keep(special.join(land.inside(special, grid), "cell", "left_anti"), "zones")
     kept.append(now.join(land.touching(now, grid), "cell", "left_anti"))
     level = config.leaf
     while special is not None and not special.isEmpty():
@@ -107,7 +120,8 @@ def cascade_cells(spark: SparkSession, land: Land, config: Cascade, passages: Da
         kept.append(special.join(touch, "cell", "left_anti").select("cell"))
         level += 1
         finer = special.join(touch, "cell", "left_semi").where(F.col("leaf") >= level)
-        special = scratch.keep(finer.select(F.explode(grid.children("cell")).alias("cell"), "leaf"), f"zone{level}")
+        finer = scratch.keep(finer.select(F.explode(grid.children("cell")).alias("cell"), "leaf"), f"finer{level}")
+        special = scratch.keep(finer.join(land.inside(finer, grid), "cell", "left_anti"), f"zone{level}")
     out = kept[0]
     for part in kept[1:]:
         out = out.unionByName(part)

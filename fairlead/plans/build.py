@@ -25,6 +25,7 @@ def build(spark: SparkSession, land: DataFrame, config: Cascade, passages: DataF
     water(poly_id, rings) is taken off the land, and the stored coast runs along what is left.
     """
     scratch, grid = Scratch(spark), config.grid
+    water = None if water is None else scratch.keep(water, "water")
     solid = Land(spatial.land_shapes(land), spatial.coast_edges(land)) if water is None else DryLand(land, water)
     solid.shapes, solid.coast = scratch.keep(solid.shapes, "shapes"), scratch.keep(solid.coast, "coast")
     cells = scratch.keep(cascade_cells(spark, solid, config, passages, box), "cells")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-VERSION = 3
+VERSION = 4  # 4: cells of the planet's grid
 NODES = "node_id int, cell long, res tinyint, lat double, lon double, shore_q smallint"
 EDGES = "src int, dst int, weight_cnm int"
 COAST = "x1 float, y1 float, x2 float, y2 float"

@@ -1,14 +1,17 @@
 """Builds, archives, streams, and every query against its SQL on the smallest tables."""
 
+import json
+import sys
 import zipfile
 from pathlib import Path
 
 import pytest
 
-from fairlead.operators.cascade import Cascade
+from fairlead.__main__ import main
+from fairlead.operators.cascade import PLANET, Cascade
 from fairlead.operators.grid import QuadGrid
 from fairlead.plans import build, passages, registry, routes
-from fairlead.sources import archive, graph_store
+from fairlead.sources import archive, graph_store, shapefile
 from fairlead.streaming import routes as stream
 
 DATA = Path("/root/testdata/sf0.001")
@@ -64,6 +67,41 @@ def test_passages(spark):
         passages.parse_box("1,2")
 
 
+def test_planet(spark):
+    grid = PLANET.grid
+    assert grid.wraps and grid.all_cells(spark).count() == 64_800 and PLANET.thresholds[-1] == (PLANET.leaf - 1, 0.002)
+    at = spark.createDataFrame([(179.9, 80.5), (-179.9, 80.5), (0.0, -89.9)], "x double, y double").select(grid.at(0, "x", "y").alias("cell"))
+    cells = at.select("cell", grid.neighbors("cell").alias("near")).collect()
+    assert cells[1].cell in cells[0].near and cells[0].cell in cells[1].near and cells[2].cell is not None
+
+
+def test_canal_water(spark, tmp_path):
+    def feature(kind, ring):
+        return {"type": "Feature", "properties": {"natural": "water", "water": kind}, "geometry": {"type": "Polygon", "coordinates": [[[p["x"], p["y"]] for p in ring]]}}
+
+    found = passages.of_planet(spark, (9.0, 53.0, 11.0, 55.0))
+    assert [(r.name, r.leaf_resolution) for r in found.collect()] == [("Kiel Canal", 15)]
+    with pytest.raises(ValueError, match="kiel-canal-water.geojson"):
+        passages.canal_water(spark, found, None)
+    (tmp_path / "kiel-canal-water.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": [feature("canal", box(9.1, 53.9, 9.2, 54.0)), feature("pond", box(9.1, 53.9, 9.2, 54.0)), feature("canal", box(8.0, 53.9, 9.0, 54.0))]}))
+    assert [r.rings[0][0].x for r in passages.canal_water(spark, found, str(tmp_path)).collect()] == [9.1]
+    assert passages.canal_water(spark, passages.of_planet(spark, (22.9, 37.8, 23.1, 38.0)), None) is None
+
+
+def test_build_command(spark, tmp_path, monkeypatch):
+    """A channel of 0.0004 degrees in the corridor of the Corinth Canal is in the graph that the command builds."""
+    land = [[[(p["x"], p["y"]) for p in box(*b)]] for b in ((22.97, 37.91, 22.9848, 37.93), (22.9852, 37.91, 23.0, 37.93))]
+    shapefile.write(f"{tmp_path}/land.shp", land)
+    monkeypatch.setattr(sys, "argv", ["fairlead", "build", f"{tmp_path}/land.shp", f"{tmp_path}/graph", "--bbox", "22.93,37.87,23.04,37.97"])
+    with pytest.raises(SystemExit) as end:
+        main()
+    assert end.value.code in (0, None)
+    nodes = graph_store.load(spark, f"{tmp_path}/graph")[0]
+    inside = nodes.where("lon > 22.9848 AND lon < 22.9852 AND lat > 37.911 AND lat < 37.929").groupBy("res").count().collect()
+    assert inside and {r.res for r in inside} <= {12, 13, 14, 15}
+    assert nodes.selectExpr("min(res) = 0 OR min(res) = 1 AS far", "max(res) AS finest").first() == (True, 15)
+
+
 @pytest.mark.skipif(not DATA.exists(), reason="the tables aren't here")
 def test_queries(spark):
     duckdb = pytest.importorskip("duckdb")
