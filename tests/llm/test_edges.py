@@ -163,6 +163,23 @@ def test_jaccard_recall(spark):
     assert sum(n for *_, n in got) >= 0.99 * sum(n for *_, n in want) > 0
 
 
+def test_jaccard_path_recall():
+    """Pairs at the threshold that are still together on some path when every node is split, DEPTH times below the roots."""
+    rng, pairs = np.random.default_rng(6), 600
+    first = rng.integers(0, 1 << 32, (pairs, jaccard_join.TOKENS), dtype=np.uint32)
+    second = np.where(rng.random(first.shape) < jaccard_join.SIMILARITY, first, rng.integers(0, 1 << 32, first.shape, dtype=np.uint32))
+    tokens = pa.array([x.astype("<u4").tobytes() for x in np.stack([first, second], 1).reshape(-1, jaccard_join.TOKENS)], pa.binary())
+    rows = list(jaccard_join._roots([pa.RecordBatch.from_arrays([pa.array(np.arange(2 * pairs)), tokens], names=["node", "tokens"])]))
+    for depth in range(jaccard_join.DEPTH + 1):
+        path, node = np.unique(np.stack([np.concatenate([r[c].to_numpy() for r in rows]) for c in ("path", "node")]), axis=1)
+        same = np.flatnonzero((path[1:] == path[:-1]) & (node[1:] // 2 == node[:-1] // 2))
+        kept = np.unique(np.concatenate([same, same + 1]))
+        path, node = path[kept], node[kept]
+        if depth < jaccard_join.DEPTH:
+            rows = list(jaccard_join._children([pa.RecordBatch.from_arrays([pa.array(path), pa.array(node), tokens.take(pa.array(node))], names=["path", "node", "tokens"])]))
+    assert len(np.unique(node // 2)) >= jaccard_join.RECALL * pairs
+
+
 def test_common():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 3000, 200)).astype(np.uint64) for _ in range(100)]
