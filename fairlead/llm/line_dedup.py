@@ -1,12 +1,12 @@
-"""Repeated runs of lines, found by winnowing over line hashes.
+"""Repeated runs of lines, found by the hashes of all windows of RUN lines.
 
-A text is cut at line feeds (a null or empty text has no lines). Every window of RUN consecutive lines selects its
-least line hash as fingerprint: equal windows select equal fingerprints, so no repeated run of RUN lines is
-missed. Fingerprints that occur in one place only are set aside by a count combined before the shuffle; the
-windows of the others, which run both ways from the fingerprint, are held against the first position of the
-same lines, in order of doc_id (null last) and line. A line goes if a window that covers it starts earlier
-elsewhere, so a repeated run is deleted as far as it extends, and its first occurrence stays. Positions are
-joined by window, never listed in pairs, and rows that hold the same fingerprint are spread by their window's hash.
+A text is cut at line feeds (a null or empty text has no lines). Every window of RUN consecutive lines is kept and
+written with two hashes of its lines: there is no winnowing, no window is left out. (The fingerprint, the window's
+least line hash, is only a further key of the same groups.) The first position and the count of equal windows, in
+order of doc_id (null last) and line, are combined before the shuffle; windows that occur in one place only are set
+aside, and the others are joined to the first position of theirs by hash. A line goes if a window that covers it
+starts earlier elsewhere, so a repeated run is deleted as far as it extends, and its first occurrence stays.
+Positions are joined by window, never listed in pairs.
 
 Repeats shorter than RUN lines stay, and a text under RUN lines loses nothing even as an exact copy; the README has
 figures. line_dedup takes a lower run.
