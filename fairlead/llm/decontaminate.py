@@ -16,8 +16,9 @@ surrounding words, so the answer has no false positives.
 The items are broadcast in blocks of BLOCK, one pass over the documents for each, so the broadcast is bounded
 whatever the benchmark's size, and documents are never shuffled.
 
-Defined results: null or empty texts are clean; items without words match nothing; null doc_ids are kept as they
-are; repeated rows and items are treated alike, one row for each document row; an empty documents table gives
+Defined results: null or empty texts are clean; items without words match nothing; an item with a null id is
+searched like any other, and a document that holds it isn't clean and has a null, last, among its ids; null doc_ids are
+kept as they are; repeated rows and items are treated alike, one row for each document row; an empty documents table gives
 no rows, an empty benchmark leaves all clean; other columns are ignored.
 """
 
@@ -115,7 +116,7 @@ def edits(item: list[int], words: list[int]) -> int:
 class Items:
     """Hash tables of a block of items."""
 
-    def __init__(self, ids: list[int], texts: list[str | None], recall: float = RECALL):
+    def __init__(self, ids: list[int | None], texts: list[str | None], recall: float = RECALL):
         h, at = codes(pa.array(texts, pa.large_string()))
         self.ids, self.words = ids, [h[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
         self.limit = [int(len(w) * (1 - SIMILARITY) + 1e-9) for w in self.words]
@@ -205,14 +206,14 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, block: int
     """docs with FOUND, the sorted ids of the items that leak into each."""
     ship(spark)
     out = docs.withColumn(FOUND, F.expr("cast(array() AS array<bigint>)"))
-    rows = benchmark.select(F.col("item_id").cast("long"), "text").where("item_id IS NOT NULL").toLocalIterator()
+    rows = benchmark.select(F.col("item_id").cast("long"), "text").toLocalIterator()
     while items := list(islice(rows, block)):
         held = spark.sparkContext.broadcast(Items([r[0] for r in items], [r[1] for r in items]))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for batch in pieces(batches, "text", 1 << 20):
                 found = held.value.search(*codes(batch["text"]))
-                ids = [sorted({*old, *found.get(d, ())}) for d, old in enumerate(batch[FOUND].to_pylist())]
+                ids = [sorted({*old, *found.get(d, ())}, key=lambda i: (i is None, i or 0)) for d, old in enumerate(batch[FOUND].to_pylist())]
                 yield batch.set_column(batch.schema.get_field_index(FOUND), FOUND, pa.array(ids, pa.list_(pa.int64())))
 
         out = out.mapInArrow(run, out.schema)

@@ -201,6 +201,17 @@ def test_leaks(spark):
         assert got == {0: [], 1: [0], 2: [1], 3: [1], 4: [], 5: [], 6: [], 7: [2, 3]}
 
 
+def test_leak_null_id(spark):
+    rng = np.random.default_rng(10)
+    items = [sentence(rng, 30) for _ in range(3)]
+    texts = [items[0], items[1] + " " + items[2] + " " + items[0], sentence(rng, 50)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(None, items[0]), (-3, items[1]), (None, items[2])], "item_id long, text string")
+    for block in (20_000, 1):
+        got = {r.doc_id: list(r[decontaminate.FOUND]) for r in decontaminate.leaks(spark, docs, bench, block).collect()}
+        assert got == {0: [None], 1: [-3, None], 2: []}
+
+
 def test_leak_recall():
     rng = np.random.default_rng(8)
     items = decontaminate.Items(list(range(150)), [sentence(rng, int(n)) for n in rng.integers(10, 70, 150)])
