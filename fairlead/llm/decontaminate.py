@@ -10,7 +10,7 @@ made at once, one vector operation for each step. Each band samples COORDINATES
 window and an item's that agree in all of a band's coordinates are a candidate. Windows are sized to the
 item's class, the largest power of two of words that it holds, up to LARGEST; an item is hashed at every half
 window that it has room for. Walks are repeated until the recall of random edits at the limit, measured on the
-items themselves, reaches RECALL. Candidates are then verified by exact edit distance against the
+items themselves (200 of a large block), reaches RECALL; if MOST_WALKS don't reach it, that is an error. Candidates are then verified by exact edit distance against the
 surrounding words, so the answer has no false positives.
 
 The items are broadcast in blocks of BLOCK, one pass over the documents for each, so the broadcast is bounded
@@ -39,7 +39,7 @@ SIMILARITY = 0.8
 RECALL = 0.95
 COORDINATES = 4
 BANDS = 8
-MOST_WALKS = 6
+MOST_WALKS = 24  # bounds the index; a block that needs more is an error
 LARGEST = 16
 BLOCK = 20_000
 FOUND = "fairlead_item_ids"
@@ -118,7 +118,7 @@ class Items:
 
     def __init__(self, ids: list[int | None], texts: list[str | None], recall: float = RECALL):
         h, at = codes(pa.array(texts, pa.large_string()))
-        self.ids, self.words = ids, [h[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+        self.ids, self.words = list(range(len(ids))), [h[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
         self.limit = [int(len(w) * (1 - SIMILARITY) + 1e-9) for w in self.words]
         self.parts = [(i, o, size) for i, w in enumerate(self.words) if len(w) for size in [length_class(len(w))] for o in range(0, len(w) - size + 1, max(1, size // 2))]
         self.part_item, self.part_offset = (np.array([x[k] for x in self.parts], np.int64) for k in (0, 1))
@@ -127,8 +127,12 @@ class Items:
         for walks in range(1, MOST_WALKS + 1):
             self._index(walks)
             found = self.search(np.concatenate([w for _, w in edited]), np.cumsum([0] + [len(w) for _, w in edited])) if edited else {}
-            if sum(self.ids[i] in found.get(d, ()) for d, (i, _) in enumerate(edited)) >= recall * len(edited):
+            caught = sum(i in found.get(d, ()) for d, (i, _) in enumerate(edited))
+            if caught >= recall * len(edited):
                 break
+        else:
+            raise ValueError(f"{MOST_WALKS} walks find {caught} of {len(edited)} edited items; the target is {recall}")
+        self.ids = ids  # until here the items' numbers, so that equal ids don't stand for each other
 
     def _index(self, walks: int) -> None:
         """Sorted keys of all parts and the part of each, and a bitmap of the keys' upper bits."""

@@ -220,6 +220,17 @@ def test_leak_recall():
     assert np.mean([i in found.get(d, ()) for d, (i, _) in enumerate(edited)]) >= 0.9
 
 
+def test_leak_walks(monkeypatch):
+    rng = np.random.default_rng(13)
+    texts = [sentence(rng, int(n)) for n in rng.integers(10, 40, 60)]
+    monkeypatch.setattr(decontaminate, "BANDS", 1)  # each walk finds less
+    items = decontaminate.Items([None] * 60, texts)
+    assert items.walks > 6 and set(items.ids) == {None}
+    monkeypatch.setattr(decontaminate, "MOST_WALKS", 1)
+    with pytest.raises(ValueError, match="the target is 0.95"):
+        decontaminate.Items(list(range(60)), texts)
+
+
 def test_edits():
     assert decontaminate.edits([1, 2, 3, 4], [9, 1, 2, 4, 9]) == 1 and decontaminate.edits([1, 2], [3]) == 2
 
