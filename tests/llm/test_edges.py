@@ -324,10 +324,45 @@ def test_levels():
 
 def test_encoder_cuts():
     e = token_store.Encoder(token_store.tokenizer_path())
-    texts = ["", " a  b", "x \n y", "\n\n a", " lead", "trail ", "it's 'll 123 $$ !a<|endoftext|>b c", "\x85 a", "a\x1c b", "don't  stop\t\tnow ", "日本 語 x"]
-    ids, at = e.batch(pa.array(texts))
-    for t, a, b in zip(texts, at[:-1], at[1:], strict=True):
-        assert ids[a:b].tolist() == [*e.tokenizer.encode(t, add_special_tokens=False).ids, token_store.END]
+    texts = ["", " a  b", "x \n y", "\n\n a", " lead", "trail ", "it's 'll 123 $$ !a<|endoftext|>b c", "\x85 a", "a\x1c b", "don't  stop\t\tnow ", "日本 語 x", "<|endoftext|>", "a<|endoftext|><|endoftext|> \n", "é\u2003 é\u00a0 é\u3000\u3000x", "a\n\u00a0b\n'sx", None]
+    rng = np.random.default_rng(1)
+    signs = [*"abZ09.,$'\"-<|> \n\t\r\x0b\x1c\x1f", "  ", "\n\n", "'s", "'ll", "\u00a0", "\u2003", "\u3000", "\x85", "é", "—", "日", "\U0001f600", "<|endoftext|>", "\u200b", "²"]
+    texts += ["".join(rng.choice(signs, int(rng.integers(1, 30)))) for _ in range(3000)]
+    for lo in (0, 20):  # the second time, all pieces are known
+        ids, at = e.batch(pa.array(texts[lo:]))
+        for t, a, b in zip(texts[lo:], at[:-1], at[1:], strict=True):
+            assert ids[a:b].tolist() == [*e.tokenizer.encode(t or "", add_special_tokens=False).ids, token_store.END], t
+
+
+def test_encoder_cache(monkeypatch):
+    monkeypatch.setattr(token_store, "CACHE_BYTES", 4000)
+    e, rng = token_store.Encoder(token_store.tokenizer_path()), np.random.default_rng(2)
+    for _ in range(20):
+        texts = [" ".join(rng.choice(["the", "same", "words", *map(str, range(300))], 60)) for _ in range(5)]
+        ids, at = e.batch(pa.array(texts))
+        assert all(ids[a:b].tolist() == [*e.tokenizer.encode(t, add_special_tokens=False).ids, token_store.END] for t, a, b in zip(texts, at[:-1], at[1:], strict=True))
+
+
+def test_crc_parts():
+    rng = np.random.default_rng(3)
+    for n, m in ((0, 5), (5, 0), (7, 70_000), (70_000, 3)):
+        a, b = rng.bytes(n), rng.bytes(m)
+        assert token_store.crc_shift(zlib.crc32(a), m) ^ zlib.crc32(b) == zlib.crc32(a + b)
+
+
+@pytest.mark.parametrize("page", [16, 1 << 13])
+def test_fetch(spark, docs, tmp_path, monkeypatch, page):
+    """Any token of any document, from its page alone, equals the plain encoding; documents span many small pages."""
+    monkeypatch.setattr(token_store, "PAGE", page)
+    once = docs.dropDuplicates(["doc_id"]).coalesce(1)
+    token_store.write_store(spark, once.withColumn("levels", F.lit(1)), f"{tmp_path}/s")
+    tokenizer, rng = token_store.Encoder(token_store.tokenizer_path()).tokenizer, np.random.default_rng(4)
+    for doc, text in rows_of(once)[::3]:
+        ids = [*tokenizer.encode(text, add_special_tokens=False).ids, token_store.END]
+        for i in {0, len(ids) - 1, int(rng.integers(0, len(ids)))}:
+            assert token_store.fetch(spark, f"{tmp_path}/s", doc, i) == ids[i]
+        assert token_store.fetch(spark, f"{tmp_path}/s", doc, len(ids)) is None
+    assert token_store.fetch(spark, f"{tmp_path}/s", 10**9, 0) is None
 
 
 def test_quality(spark):
