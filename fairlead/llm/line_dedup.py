@@ -1,19 +1,23 @@
-"""Repeated runs of lines, found by the hashes of all windows of RUN lines.
+"""Repeated runs of lines, by winnowing over line hashes.
 
-A text is cut at line feeds (a null or empty text has no lines). Every window of RUN consecutive lines is kept and
-written with two hashes of its lines: there is no winnowing, no window is left out. (The fingerprint, the window's
-least line hash, is only a further key of the same groups.) The first position and the count of equal windows, in
-order of doc_id (null last) and line, are combined before the shuffle; windows that occur in one place only are set
-aside, and the others are joined to the first position of theirs by hash. A line goes if a window that covers it
-starts earlier elsewhere, so a repeated run is deleted as far as it extends, and its first occurrence stays.
-Positions are joined by window, never listed in pairs.
+A text is cut at line feeds (a null or empty text has no lines). Of each window of RUN consecutive lines the least line
+hash is selected, the rightmost of equal ones: its position is the window's fingerprint. Equal windows select the same
+line, so a run of RUN lines that occurs twice is guaranteed to be seen at a fingerprint of both places.
+
+1. Each document lists its fingerprints, one row for each selected position (about half as many as there are windows), with
+   the windows that selected it. 2. Fingerprints are counted, combined before the shuffle, and those whose hash occurs once are
+   dropped with all their windows. 3. The positions that are left are extended to both sides, by the lines left and right of
+   them in each window that selected them, and joined to the first position (in order of doc_id, null last, and line) that agrees
+   in the fingerprint and in both sides, told by the SHA-256 of the lines. 4. Extended matches that follow one another make a
+   run, which goes as far as it agrees; its first occurrence stays.
+Positions are joined to the first one only, never listed in pairs.
 
 Repeats shorter than RUN lines stay, and a text under RUN lines loses nothing even as an exact copy; the README has
-figures. line_dedup takes a lower run.
+figures. line_dedup takes a lower run (at 1, each line is its own fingerprint).
 
-Defined results: rows that share doc_id and text stand at one position and are treated alike; an empty table
-gives no rows; ties can't occur otherwise, as a position is unique; other columns are ignored. Only built-in
-functions are used.
+Defined results: rows that share doc_id and text stand at one position and are treated alike; a null doc_id counts as larger
+than any; rows of one doc_id with different texts are ordered by a hash of the text; very long texts are listed whole, in one
+row; an empty table gives no rows; other columns, whatever their names, are ignored. Only built-in functions are used.
 """
 
 from __future__ import annotations
@@ -27,22 +31,29 @@ RUN = 3
 LAST = "9223372036854775807L"
 
 
+def fingerprints(docs: DataFrame, run: int = RUN) -> DataFrame:
+    """(doc_id, row_key, p, f, windows): the selected positions, their line's hash, and start and digest of the windows that selected them."""
+    lines = docs.selectExpr("cast(doc_id AS long) AS doc_id", "xxhash64(text, 1) AS row_key", r"split(text, '\n', -1) AS lines").where(f"size(lines) >= {run}")
+    hashed = lines.withColumn("h", F.expr("transform(lines, (x, i) -> struct(xxhash64(x) AS f, -i AS p))"))  # of equal ones the rightmost is the least
+    window = f"struct(i AS at, -array_min(slice(h, i + 1, {run})).p AS p, substr(unhex(sha2(array_join(slice(lines, i + 1, {run}), '\n'), 256)), 1, 16) AS digest)"
+    windows = hashed.selectExpr("doc_id", "row_key", "h", f"transform(sequence(0, size(lines) - {run}), i -> {window}) AS w")
+    own = f"transform(filter(slice(w, greatest(p - {run - 1}, 0) + 1, {run}), x -> x.p = p), x -> struct(x.at, x.digest))"
+    return windows.selectExpr("doc_id", "row_key", f"inline(transform(array_distinct(w.p), p -> struct(p, h[p].f AS f, {own} AS windows)))")
+
+
+def matched(table: DataFrame) -> DataFrame:
+    """The fingerprints of the table whose hash occurs more than once."""
+    return table.join(table.groupBy("f").agg(F.count("*").alias("n")).where("n > 1").select("f"), "f")
+
+
 def repeated_runs(spark: SparkSession, docs: DataFrame, run: int = RUN) -> DataFrame:
     """(doc_id, row_key, starts): the windows of each document whose lines occur earlier."""
-    hashes = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.xxhash64("text", F.lit(1)).alias("row_key"),
-        F.expr(r"transform(split(text, '\n', -1), x -> xxhash64(x))").alias("lines"),
-    ).where(f"size(lines) >= {run}")
-    windows = hashes.selectExpr("doc_id", "row_key", "lines", f"posexplode(transform(sequence(1, size(lines) - {run - 1}), i -> array_min(slice(lines, i, {run})))) AS (at, fingerprint)")
-    windows = windows.selectExpr("doc_id", "row_key", "at", "fingerprint", f"slice(lines, at + 1, {run}) AS lines")
-    windows = windows.selectExpr("doc_id", "row_key", "at", "fingerprint", "xxhash64(lines) AS one", "xxhash64(reverse(lines), 7) AS two")
     scratch = Scratch(spark)
-    windows = scratch.keep(windows.distinct(), "windows")
+    table = scratch.keep(fingerprints(docs, run), "fingerprints")
+    extended = scratch.keep(matched(table).selectExpr("doc_id", "row_key", "f", "inline(windows)"), "extended")
     place = f"struct(coalesce(doc_id, {LAST}) AS doc_id, row_key, at)"
-    by_window = windows.groupBy("fingerprint", "one", "two").agg(F.expr(f"min({place})").alias("first"), F.count("*").alias("n"))
-    first = by_window.where("n > 1").select("one", "two", "first")
-    found = windows.join(first, ["one", "two"]).where(f"{place} > first")
+    first = extended.groupBy("f", "digest").agg(F.expr(f"min({place})").alias("first"), F.count("*").alias("n")).where("n > 1").select("f", "digest", "first")
+    found = extended.join(first, ["f", "digest"]).where(f"{place} > first")
     return found.groupBy("doc_id", "row_key").agg(F.sort_array(F.collect_set("at")).alias("starts"))
 
 

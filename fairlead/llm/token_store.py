@@ -20,6 +20,7 @@ gives an empty store; other columns, whatever their names, are ignored; very lon
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 import zlib
@@ -87,6 +88,7 @@ class Encoder:
     """Ids of many texts at once, with a cache of pieces."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are parallel already; threads would each keep memory
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

@@ -96,6 +96,27 @@ def test_line_runs(spark, run):
     assert {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in line_dedup.line_dedup(spark, docs, run).collect()} == want
 
 
+def test_line_fingerprints(spark, monkeypatch):
+    """One row for each window's rightmost minimum, fewer than windows; hashes that occur once go; without their selection rows differ."""
+    rng = np.random.default_rng(6)
+    texts = ["\n".join(map(str, rng.integers(0, 2000, 40))) for _ in range(20)]
+    texts += [texts[0], "\n".join(texts[1].split("\n")[3:20]), None, "one\ntwo"]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, p int")
+    rows = line_dedup.fingerprints(docs).collect()
+    ends = {(r.doc_id, w.at): r.p for r in rows for w in r.windows}
+    lines = {x: h for x, h in spark.createDataFrame([(str(i),) for i in range(2000)], "x string").selectExpr("x", "xxhash64(x) AS h").collect()}
+    for i, t in enumerate(texts[:22]):
+        h = [lines[x] for x in t.split("\n")]
+        for at in range(len(h) - 2):
+            assert ends[i, at] == min(range(at, at + 3), key=lambda p: (h[p], -p))
+    table = line_dedup.fingerprints(docs)
+    assert len(rows) < 0.7 * len(ends) and 40 < line_dedup.matched(table).count() < len(rows)
+    want = sorted(map(tuple, line_dedup.repeated_runs(spark, docs).collect()))
+    assert [r[0] for r in want] == [20, 21] and want[0][2] == list(range(38)) and want[1][2] == list(range(15))
+    monkeypatch.setattr(line_dedup, "matched", lambda t: t.withColumn("f", t["p"]))  # positions in place of hashes: the join loses the matches
+    assert sorted(map(tuple, line_dedup.repeated_runs(spark, docs).collect())) != want
+
+
 def removed_words(rows, window=50):
     least = {}
     words = [(order(i), WORD.findall(t)) for i, t in rows]
