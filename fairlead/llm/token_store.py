@@ -39,7 +39,7 @@ END = 2
 CHUNK = 8
 BLOCK = 512
 PAGE = 1 << 13
-CACHE_BYTES = 24 << 20
+CACHE_BYTES = 20 << 20
 BATCH = 3 << 20
 GROUP = 20
 LETTER, DIGIT, SIGN, WHITE, HIGH, APOSTROPHE = range(1, 7)
