@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fairlead.functions.tables import Scratch, load
-from fairlead.llm.words import U, buffers, mix, mix1, ngrams, pieces, release, spans_hash, split
+from fairlead.llm.words import U, buffers, mix, mix1, ngrams, pieces, release, split
 from fairlead.operators.components import components, roots_of
 
 SHINGLE = 5
@@ -44,7 +44,10 @@ TOKENS = 64
 RUNS = 10
 DEPTH = 4
 SMALL = 1000
-BLOCK = 500
+BLOCK = 500  # sets of a block at most
+BLOCK_SHINGLES = 1 << 18  # and about so many shingles
+LARGE = 1 << 17  # shingles of a set that is compared by itself
+WIDTH = 2048
 LEAST_TOKENS = 38  # of 64 equal: 4 standard deviations below the 51 expected at a similarity of 0.8
 ROWS = 4096
 LAST = np.iinfo(np.int64).max
@@ -58,10 +61,11 @@ def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     h, of = words.hashes(), words.doc_of()
     runs = ngrams(h, SHINGLE)
     inside = of[: len(runs)] == of[len(h) - len(runs) :]
-    short = np.flatnonzero((count > 0) & (count < SHINGLE))
-    values = np.concatenate([runs[inside], spans_hash(h, words.doc_at[short], words.doc_at[short + 1], 5)])
-    row = np.concatenate([of[: len(runs)][inside], short]).astype(U)
-    both = np.unique(row << U(52) | values >> U(12))
+    values, row = [runs[inside]], [of[: len(runs)][inside]]
+    for n in range(1, SHINGLE):
+        row.append(np.flatnonzero(count == n))
+        values.append(ngrams(h, n)[words.doc_at[row[-1]]])
+    both = np.unique(np.concatenate(row).astype(U) << U(52) | np.concatenate(values) >> U(12))
     return both & U((1 << 52) - 1), np.searchsorted(both >> U(52), np.arange(len(texts) + 1))
 
 
@@ -176,28 +180,38 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
 
-def common(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections: frequent shingles by a matrix product, rare ones pair by pair."""
+def common(sets: list[np.ndarray], cut: int = 0) -> np.ndarray:
+    """Sizes of the intersections of the sets from cut on with those before it; all with all at 0. Frequent shingles by a matrix
+    product, WIDTH at a time, rare ones pair by pair. Of pairs with a set over LARGE, those whose sizes rule a link out count 0."""
     size = np.array([len(x) for x in sets])
-    row = np.repeat(np.arange(len(sets)), size)
-    _, column, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    often = 1 if len(sets) <= 64 else 16
-    inter = np.zeros((len(sets), len(sets)), np.float32)
-    frequent = np.flatnonzero(seen > often)
-    place = np.full(len(seen), -1)
-    place[frequent] = np.arange(len(frequent))
-    for lo in range(0, len(frequent), 8192):
-        own = (place[column] >= lo) & (place[column] < lo + 8192)
-        x = np.zeros((len(sets), min(8192, len(frequent) - lo)), np.float32)
-        x[row[own], place[column[own]] - lo] = 1
-        inter += x @ x.T
-    order = np.argsort(column, kind="stable")
-    for times in range(2, often + 1):
-        rows = row[order][(seen[column] == times)[order]].reshape(-1, times)
-        for i in range(times):
-            for j in range(i):
-                np.add.at(inter, (rows[:, i], rows[:, j]), 1)
-                np.add.at(inter, (rows[:, j], rows[:, i]), 1)
+    first, second = slice(0, cut or len(sets)), slice(cut, len(sets))
+    inter = np.zeros((len(sets), len(sets)), np.float32 if size.max() < 1 << 24 else np.float64)
+    usual = np.flatnonzero(size <= LARGE)
+    if len(usual) > 1:
+        row = np.repeat(usual, size[usual])
+        _, column, seen = np.unique(np.concatenate([sets[i] for i in usual.tolist()]), return_inverse=True, return_counts=True)
+        often = 1 if len(usual) <= 64 else 16
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        times = seen[column]
+        frequent = times > often
+        place = np.cumsum(seen > often) - 1
+        far, near = place[column[frequent]], row[frequent]
+        edges = np.searchsorted(far, np.arange(0, far[-1] + 1 + WIDTH if len(far) else 1, WIDTH))
+        for k, (lo, hi) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
+            x = np.zeros((len(sets), WIDTH), np.float32)
+            x[near[lo:hi], far[lo:hi] - k * WIDTH] = 1
+            inter[first, second] += x[first] @ x[second].T
+        for n in range(2, often + 1):
+            rows = row[times == n].reshape(-1, n)
+            for i in range(n):
+                for j in range(i):
+                    np.add.at(inter, (rows[:, i], rows[:, j]), 1)
+                    np.add.at(inter, (rows[:, j], rows[:, i]), 1)
+    for i in np.flatnonzero(size > LARGE).tolist():
+        for j in np.flatnonzero((size <= size[i] + 1) & (size >= SIMILARITY * size[i] - 1)).tolist():
+            at = np.searchsorted(sets[i], sets[j])
+            inter[i, j] = inter[j, i] = (sets[i][np.minimum(at, size[i] - 1)] == sets[j]).sum()
     inter[np.arange(len(sets)), np.arange(len(sets))] = size
     return inter
 
@@ -210,21 +224,28 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = [np.concatenate(x) for x in zip(*out, strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["node", "links", "root"])
 
-    for group in _groups(batches, "task"):
+    for n, group in enumerate(_groups(batches, "task")):
         node, copies, block = (group[c].to_numpy() for c in ("node", "copies", "block"))
-        sets = [np.frombuffer(x, "<u8") for x in group["shingles"].to_pylist()]
-        inter = common(sets)
-        size = np.array([len(x) for x in sets], np.float32)
+        other = block != block[0]
+        order = np.argsort(other, kind="stable")  # one block, then the other
+        node, copies, cut = node[order], copies[order], int((~other).sum()) if other.any() else 0
+        column = group["shingles"].combine_chunks().take(pa.array(order))
+        sets = [np.frombuffer(x.as_buffer(), "<u8") for x in column]
+        inter = common(sets, cut)
+        size = np.array([len(x) for x in sets], inter.dtype)
         linked = inter >= SIMILARITY * (size[:, None] + size - inter) - 1e-3  # sizes are whole numbers
+        if cut:
+            linked[cut:] = linked[:cut, :cut] = False
+            linked |= linked.T
         linked[np.arange(len(node)), np.arange(len(node))] = False
-        if (block != block[0]).any():
-            linked &= block[:, None] != block
         pairs = np.stack(np.nonzero(np.triu(linked)))
         root = roots_of(len(node), pairs)
         out.append([node, linked @ copies, node[root]])
         if len(out) >= 1000:
             yield flush()
             out = []
+        if len(node) > 64 and n % 8 == 0:
+            release()
     if out:
         yield flush()
     release()
@@ -259,10 +280,11 @@ def classes_of(spark: SparkSession, docs: DataFrame) -> DataFrame:
     sets = scratch.keep(sets.selectExpr("node", "other", "n", "copies", "first.doc AS doc", "first.row_key AS row_key", "first.tokens AS tokens"), "sets")
     clusters = components(spark, candidates(spark, sets.where("n > 0"), scratch))
     clusters = scratch.keep(clusters, "clusters")
-    sizes = clusters.groupBy("component").agg(F.count("*").alias("size")).selectExpr("component", f"cast(ceil(size / {BLOCK}) AS int) AS blocks")
+    sizes = clusters.join(sets.select("node", "n"), "node").groupBy("component").agg(F.count("*").alias("size"), F.sum("n").alias("total"))
+    sizes = sizes.selectExpr("component", f"cast(ceil(greatest(size / {BLOCK}, total / {BLOCK_SHINGLES})) AS int) AS blocks")
     placed = clusters.join(sizes, "component").join(sets.select("node", "doc", "row_key", "copies"), "node")
     placed = placed.selectExpr("node", "doc", "row_key", "copies", "component", "blocks", "cast(pmod(xxhash64(node), blocks) AS int) AS block")
-    held = texts.join(placed, ["doc", "row_key"]).drop("doc", "row_key").dropDuplicates(["node"])
+    held = texts.join(placed, ["doc", "row_key"]).dropDuplicates(["doc", "row_key"])  # dealt out by these already
     shingled = held.select("node", "text", "copies", "component", "blocks", "block").mapInArrow(_sets, "node long, shingles binary, copies long, component long, blocks int, block int")
     task = "explode(transform(sequence(0, blocks - 1), x -> xxhash64(component, least(x, block), greatest(x, block)))) AS task"
     dealt = shingled.selectExpr("node", "shingles", "copies", "block", task).repartition("task").sortWithinPartitions("task", "node")

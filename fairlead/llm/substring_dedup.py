@@ -4,14 +4,14 @@ A window's minimiser is the least hash among its runs of SEED words. Consecutive
 form a super-k-mer: one packed string. Equal windows have equal minimisers, so a window repeats only among the
 super-k-mers of its minimiser:
 
-1. Each document lists its super-k-mers: place, minimiser and a 128-bit address of the string.
+1. Each document lists its super-k-mers: place, minimiser and a digest of the string (128 bits of BLAKE2b of its bytes).
 2. Equal strings are combined before they are dealt out; of each, the first document (least doc_id) is its
    representative. In all later documents every window of that string is a repeat.
 3. Minimisers with one string, or in one document, need no more. For the others, each distinct string travels once,
    packed, to its minimiser's bucket. There words become exact ranks, ranks are doubled up to 50 words,
    and a sort by (rank, doc_id) shows the first document of every window.
 4. A minimiser with more than HOT distinct strings (a phrase in many contexts) is split into its windows, which are
-   combined by their own 128-bit address before they are dealt out, so no bucket holds a hot phrase.
+   combined by the SHA-256 of their words before they are dealt out, so no bucket holds a hot phrase.
 5. Windows that start in an earlier document mark their words; marked words go.
 
 Defined results: a null or empty text has no words; a document under 50 words loses none; a null doc_id counts as
@@ -21,8 +21,8 @@ treated alike; repeats within one document stay; an empty table gives no rows; o
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from hashlib import blake2b, sha256
 
 import numpy as np
 import pandas as pd
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fairlead.functions.tables import Scratch, load
-from fairlead.llm.words import buffers, ngrams, pieces, sliding_min, spans_hash, split
+from fairlead.llm.words import buffers, ngrams, pieces, sliding_min, split
 
 WINDOW = 50
 SEED = 8
@@ -44,12 +44,11 @@ RUN = "struct<start:int,n:int,minimiser:bigint,k1:bigint,k2:bigint>"
 
 
 def superkmers(texts: pa.Array, window: int = WINDOW, seed: int = SEED) -> tuple[np.ndarray, ...]:
-    """doc (row of texts), start (word), n (windows), minimiser, k1, k2 of every super-k-mer; and the words of each text."""
+    """doc (row of texts), start (word), n (windows), minimiser of every super-k-mer, its first word and the one after its last among all words; and the words of each text."""
     words = split(*buffers(texts))
     count = np.diff(words.doc_at)
-    h = words.hashes()
-    least = sliding_min(ngrams(h, seed), window - seed + 1)
-    valid = np.repeat(words.doc_at[1:], count) - np.arange(len(h)) >= window
+    least = sliding_min(ngrams(words.hashes(), seed), window - seed + 1)
+    valid = np.repeat(words.doc_at[1:], count) - np.arange(len(words.start)) >= window
     at = np.flatnonzero(valid)
     least = least[at]
     cut = np.ones(len(at), bool)
@@ -62,18 +61,27 @@ def superkmers(texts: pa.Array, window: int = WINDOW, seed: int = SEED) -> tuple
     length = np.minimum(LONGEST, np.repeat(length, more) - part * LONGEST)
     start = at[first]
     doc = words.doc_of()[start]
+    place = np.concatenate([[0], np.cumsum(words.end - words.start + 1)])  # of each word, with one space after each
     end = start + length + window - 1
-    k1, k2 = (spans_hash(h, start, end, s).view(np.int64) for s in (1, 2))
-    return doc, start - words.doc_at[doc], length, least[first].view(np.int64), k1, k2, count
+    return doc, start - words.doc_at[doc], length, least[first].view(np.int64), place[start], place[end] - 1, count
+
+
+def digests(forms: list[bytes], first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The two halves of a 128-bit BLAKE2b of each string's bytes; forms: each text's words joined by one space."""
+    flat = memoryview(b"".join([x + b" " for x in forms if x]))
+    raw = b"".join([blake2b(flat[a:b], digest_size=16).digest() for a, b in zip(first.tolist(), last.tolist(), strict=True)])
+    return np.frombuffer(raw, "<i8").reshape(-1, 2)
 
 
 def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, "text"):
-        doc, start, n, least, k1, k2, count = superkmers(batch["text"])
-        runs = pa.StructArray.from_arrays([pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(least), pa.array(k1), pa.array(k2)], names=["start", "n", "minimiser", "k1", "k2"])
+        doc, start, n, least, first, last, count = superkmers(batch["text"])
+        forms = [b" ".join(x.encode().split()) for x in batch["text"].to_pylist()]
+        k = digests(forms, first, last)
+        runs = pa.StructArray.from_arrays([pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(least), pa.array(k[:, 0]), pa.array(k[:, 1])], names=["start", "n", "minimiser", "k1", "k2"])
         offsets = np.searchsorted(doc, np.arange(batch.num_rows + 1)).astype(np.int32)
-        whole = [hashlib.sha256(b" ".join(x.encode().split())).hexdigest() if x else hashlib.sha256().hexdigest() for x in batch["text"].to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch["doc"], batch["row_key"], pa.array(count.astype(np.int64)), pa.array(whole), pa.ListArray.from_arrays(pa.array(offsets), runs)], names=["doc", "row_key", "n_words", "whole", "runs"])
+        whole = [sha256(x).hexdigest() for x in forms]
+        yield pa.RecordBatch.from_arrays([batch["doc"], batch["row_key"], pa.array(count.astype(np.int64)), pa.array(whole, pa.string()), pa.ListArray.from_arrays(pa.array(offsets), runs)], names=["doc", "row_key", "n_words", "whole", "runs"])
 
 
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +168,7 @@ def _cut(keep: bool):
                 removed.append(int((~stays).sum()))
                 kept.append(b" ".join([words[i] for i in np.flatnonzero(stays)]))
             texts = pa.array([x.decode() if keep else None for x in kept], pa.string())
-            yield pa.RecordBatch.from_arrays([batch["doc"], batch["row_key"], pa.array(removed, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()), texts], names=["doc", "row_key", "n_removed", "digest", "kept"])
+            yield pa.RecordBatch.from_arrays([batch["doc"], batch["row_key"], pa.array(removed, pa.int64()), pa.array([sha256(x).hexdigest() for x in kept], pa.string()), texts], names=["doc", "row_key", "n_removed", "digest", "kept"])
 
     return run
 
@@ -179,9 +187,9 @@ def repeats(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> tuple[Dat
     packed = scratch.keep(packed, "packed")
     dealt = packed.where("j < 0").repartition("minimiser").sortWithinPartitions("minimiser")
     plain = dealt.select("minimiser", "k1", "k2", "doc", "packed").mapInArrow(_buckets, "k1 long, k2 long, j int")
-    hot = packed.where("j >= 0").selectExpr("k1", "k2", "doc", "j", "xxhash64(packed) AS w1", "xxhash64(packed, 1) AS w2")
-    least = hot.groupBy("w1", "w2").agg(F.min("doc").alias("least"))
-    hot = hot.join(least, ["w1", "w2"]).where("least < doc").select("k1", "k2", "j")
+    hot = packed.where("j >= 0").selectExpr("k1", "k2", "doc", "j", "unhex(sha2(packed, 256)) AS w")
+    least = hot.groupBy("w").agg(F.min("doc").alias("least"))
+    hot = hot.join(least, "w").where("least < doc").select("k1", "k2", "j")
     windows = scratch.keep(plain.unionByName(hot).groupBy("k1", "k2").agg(F.collect_set("j").alias("js")), "windows")
     scratch.free("packed", "chosen")
     later = strings.where("last > first.doc").selectExpr("k1", "k2", "first.doc AS least").join(windows, ["k1", "k2"], "full_outer")

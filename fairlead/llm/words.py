@@ -9,6 +9,7 @@ from __future__ import annotations
 import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -16,19 +17,7 @@ import pyarrow as pa
 U = np.uint64
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
-_BASE, _STEP = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95  # odd: powers have inverses modulo 2**64
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n."""
-    got = _powers.get(base)
-    if got is None or len(got[0]) < n:
-        size = 1 << max(12, (n - 1).bit_length())
-        with np.errstate(over="ignore"):
-            got = tuple(np.concatenate([np.ones(1, U), np.full(size - 1, b, U)]).cumprod(dtype=U) for b in (base, pow(base, -1, 1 << 64)))
-        _powers[base] = got
-    return got[0][:n], got[1][:n]
+SHORT = 64  # bytes of the longest word that is hashed in numpy
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -41,6 +30,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+LOW_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], U)
+
+
 def mix1(x: int) -> int:
     return int(mix(np.array([x & (2**64 - 1)], U))[0])
 
@@ -55,10 +47,22 @@ class Words:
     doc_at: np.ndarray
 
     def hashes(self) -> np.ndarray:
-        p, inv = powers(_BASE, len(self.data) + 1)
-        total = np.zeros(len(self.data) + 1, U)
-        np.cumsum((self.data.astype(U) + U(1)) * p[:-1], out=total[1:])
-        return mix((total[self.end] - total[self.start]) * inv[self.start])
+        """64 bits for each word: eight bytes at a time through mix; of words over SHORT bytes a part of BLAKE2b."""
+        size = self.end - self.start
+        out = mix(size.astype(U) * U(0x9E3779B97F4A7C15))
+        padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
+        eight = np.ndarray(len(self.data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each byte on
+        live, at, left = np.arange(len(size)), self.start, np.where(size > SHORT, 0, size)
+        while len(live := live[left > 0]):
+            at, left = at[left > 0], left[left > 0]
+            term = eight[at]
+            term &= LOW_BYTES[np.minimum(left, 8)]
+            term ^= out[live]
+            out[live] = mix(term)
+            at, left = at + 8, left - 8
+        for i in np.flatnonzero(size > SHORT).tolist():
+            out[i] = int.from_bytes(blake2b(self.data[self.start[i] : self.end[i]], digest_size=8).digest(), "little")
+        return out
 
     def doc_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.doc_at) - 1), np.diff(self.doc_at))
@@ -84,14 +88,18 @@ def split(data: np.ndarray, at: np.ndarray, separator: np.ndarray = SEPARATOR) -
     return Words(data, start, end, np.searchsorted(start, at))
 
 
+def both(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return mix(x * U(0xD1342543DE82EF95) + y)
+
+
 def ngrams(h: np.ndarray, n: int) -> np.ndarray:
-    """A hash for each n consecutive values of h (len(h) - n + 1 of them; none if there are fewer)."""
+    """A hash for each n consecutive values of h (len(h) - n + 1 of them; none if there are fewer), from those of half as many."""
     if len(h) < n:
         return np.zeros(0, U)
-    p, inv = powers(_STEP, len(h) + 1)
-    total = np.zeros(len(h) + 1, U)
-    np.cumsum(h * p[:-1], out=total[1:])
-    return mix((total[n:] - total[:-n]) * inv[: len(h) - n + 1] + U(n))
+    span = 1
+    while span * 2 <= n:
+        h, span = both(h[:-span], h[span:]), span * 2
+    return mix((both(h[: span - n], h[n - span :]) if span < n else h) + U(n))
 
 
 def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
@@ -123,11 +131,3 @@ def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
     ahead = np.minimum.accumulate(blocks, axis=1).ravel()
     back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
     return np.minimum(back[: len(x) - n + 1], ahead[n - 1 : len(x)])
-
-
-def spans_hash(h: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
-    """A hash of h[start:end] for each pair."""
-    p, inv = powers(_STEP, len(h) + 1)
-    total = np.zeros(len(h) + 1, U)
-    np.cumsum(mix(h ^ U(seed)) * p[:-1], out=total[1:])
-    return mix((total[end] - total[start]) * inv[start] + (end - start).astype(U) * U(_BASE))

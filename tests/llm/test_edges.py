@@ -139,6 +139,19 @@ def test_substrings(spark, docs, monkeypatch, hot):
     assert sorted((order(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got) == removed_words(rows_of(docs))
 
 
+def test_substring_collisions(spark):
+    """Words of two letters whose bytes balance in any polynomial modulo 2**64, and their complements, are different words."""
+    parity = [bin(i).count("1") % 2 for i in range(1024)]
+    rng = np.random.default_rng(7)
+    one, two = ("".join("ab"[b ^ k] for b in parity) for k in (0, 1))
+    left, right = sentence(rng, 28), sentence(rng, 28)
+    docs = spark.createDataFrame([(1, f"{left} {one} {right}"), (2, f"{left} {two} {right}"), (3, f"{left} {one} {right}")], "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in substring_dedup.substring_dedup(spark, docs).collect()}
+    assert got == {1: 0, 2: 0, 3: 57}
+    words = split(*buffers(pa.array([f"{one} {two} {one[:64]} {two[:64]} {one[:9]} {two[:9]} a b"], pa.large_string())))
+    assert len(set(words.hashes().tolist())) == 8
+
+
 def test_urls(spark):
     urls = [None, "", "no scheme", "HTTP://WWW.Example.NET/en/1?x#y", "http://a.net", "http://a.net/", "http://example.com/de/x", "http://example.com/de", "https://x.org/fr/", "http://net/en/", "http://xnet/", "a://b://c/d", "http://É.net/ü"]
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(spark, spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), url_filter.RULES, block=3).collect()}
@@ -167,6 +180,7 @@ def near(rows):
 def test_jaccard(spark, docs, monkeypatch, small):
     monkeypatch.setattr(jaccard_join, "SMALL", small)
     monkeypatch.setattr(jaccard_join, "BLOCK", small)
+    monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", 100 * small)
     got = jaccard_join.jaccard_join(spark, docs).collect()
     assert sorted((order(r.doc_id), order(r.class_id), r.n_links) for r in got) == near(rows_of(docs))
 
@@ -201,11 +215,20 @@ def test_jaccard_path_recall():
     assert len(np.unique(node // 2)) >= jaccard_join.RECALL * pairs
 
 
-def test_common():
+@pytest.mark.parametrize("large", [1 << 17, 190, 0])
+def test_common(monkeypatch, large):
+    monkeypatch.setattr(jaccard_join, "LARGE", large)
+    monkeypatch.setattr(jaccard_join, "WIDTH", 100)
     rng = np.random.default_rng(2)
-    sets = [np.unique(rng.integers(0, 3000, 200)).astype(np.uint64) for _ in range(100)]
-    got = jaccard_join.common(sets)
-    assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(100) for j in range(100))
+    sets = [np.unique(rng.integers(0, 3000, 200)).astype(np.uint64) for _ in range(50)]
+    sets += [np.unique(np.append(rng.choice(x, 180, replace=False), rng.integers(0, 3000, 10).astype(np.uint64))) for x in sets]
+    for cut in (0, 37):
+        got = jaccard_join.common(sets, cut)
+        for i, j in itertools.product(range(100), range(100)):
+            if not cut or i < cut <= j:
+                n = len(np.intersect1d(sets[i], sets[j]))
+                possible = large == 1 << 17 or n >= 0.8 * len(np.union1d(sets[i], sets[j]))
+                assert got[i, j] == n if possible else got[i, j] in (0, n)
 
 
 def test_leaks(spark):
