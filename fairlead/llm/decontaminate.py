@@ -7,25 +7,26 @@ edits of it.
 Candidates: a CGK random walk reads a word sequence through two coins per step and word (stay or go on), so that
 sequences a few edits apart agree in most coordinates of the walk. The walk from every word of a document is
 made at once, one vector operation for each step. Each band samples COORDINATES steps of the walk; a document's
-window and an item's that agree in all of a band's coordinates are a candidate. Windows are sized to the
-item's class, the largest power of two of words that it holds, up to LARGEST; an item is hashed at every half
-window that it has room for. Walks are repeated until the recall of random edits at the limit, measured on the
-items themselves (200 of a large block), reaches RECALL; if MOST_WALKS don't reach it, that is an error. Candidates are then verified by exact edit distance against the
-surrounding words, so the answer has no false positives.
+window and an item's that agree in all of a band's coordinates are a candidate. Windows are item-sized: as long as
+the item's class, the largest power of two of words that it holds. An item is hashed at every eighth of a window that it has
+room for (one of over 2 * LARGEST words in windows of LARGEST, as each word of a document walks as far as the longest
+window). Walks are repeated until the recall of random edits at the limit, measured on the
+items themselves (200 of a large block), reaches RECALL; if MOST_WALKS don't reach it, that is an error. Candidates are then
+verified by exact edit distance against the surrounding words (told by 64-bit hashes), so the answer has no false positives.
 
-The items are broadcast in blocks of BLOCK, one pass over the documents for each, so the broadcast is bounded
-whatever the benchmark's size, and documents are never shuffled.
+The items are broadcast in blocks of at most BLOCK items and BLOCK_BYTES of text (or one longer item), one pass over the
+documents for each, so the broadcast is bounded whatever the benchmark's size, and documents are never shuffled.
 
 Defined results: null or empty texts are clean; items without words match nothing; an item with a null id is
 searched like any other, and a document that holds it isn't clean and has a null, last, among its ids; null doc_ids are
 kept as they are; repeated rows and items are treated alike, one row for each document row; an empty documents table gives
-no rows, an empty benchmark leaves all clean; other columns are ignored.
+no rows, an empty benchmark leaves all clean; very long texts are searched whole; other columns are kept by the stage, whatever
+their names, and ignored otherwise.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,15 +34,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fairlead.functions.tables import load, ship
-from fairlead.llm.words import U, buffers, mix, mix1, pieces, split
+from fairlead.llm.words import U, buffers, mix, mix1, pieces, split, unused
 
 SIMILARITY = 0.8
 RECALL = 0.95
 COORDINATES = 4
 BANDS = 8
 MOST_WALKS = 24  # bounds the index; a block that needs more is an error
-LARGEST = 16
+LARGEST = 64
 BLOCK = 20_000
+BLOCK_BYTES = 4 << 20
 FOUND = "fairlead_item_ids"
 ALNUM = np.zeros(256, bool)
 ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -72,26 +74,27 @@ def bands(walk: int, size: int) -> list[list[tuple[int, int]]]:
 
 
 def walk_keys(padded: np.ndarray, at: np.ndarray, walk: int, sizes: list[int]) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(size, band, key of each start in at): padded has steps(max(sizes)) zeros after each text."""
-    seen = mix(padded ^ U(mix1(walk + 1)))
+    """(size, band, 32-bit key of each start in at): padded has steps(max(sizes)) zeros after each text."""
+    seen = (mix(padded ^ U(mix1(walk + 1))) >> U(32)).astype(np.uint32)
     plan = {size: bands(walk, size) for size in sizes}
     wanted: dict[int, list[tuple[int, int, int]]] = {}
     for size, every in plan.items():
         for b, coordinates in enumerate(every):
             for j, factor in coordinates:
-                wanted.setdefault(j, []).append((size, b, factor))
-    keys = {(size, b): np.full(len(at), mix1(size * 64 + b), U) for size in sizes for b in range(BANDS)}
-    pos, here, bit, term = at.copy(), np.empty(len(at), U), np.empty(len(at), U), np.empty(len(at), U)
+                wanted.setdefault(j, []).append((size, b, factor & 0xFFFFFFFF))
+    keys = {(size, b): np.full(len(at), mix1(size * 64 + b) & 0xFFFFFFFF, np.uint32) for size in sizes for b in range(BANDS)}
+    pos, here, term, bit = at.copy(), np.empty(len(at), np.uint32), np.empty(len(at), np.uint32), np.empty(len(at), np.int64)
     for j in range(max(wanted) + 1):
-        np.take(seen, pos, out=here)
+        np.take(seen, pos, out=here, mode="clip")  # in range; clip spares a copy
         for size, b, factor in wanted.get(j, ()):
-            np.multiply(here, U(factor), out=term)
+            np.multiply(here, np.uint32(factor), out=term)
             keys[size, b] += term
-        np.right_shift(here, U(j & 63), out=bit)
-        np.bitwise_and(bit, U(1), out=bit)
-        np.add(pos, bit.view(np.int64), out=pos)
+        np.right_shift(here, np.uint32(j & 31), out=term)
+        np.bitwise_and(term, np.uint32(1), out=term)
+        bit[:] = term
+        pos += bit
     for (size, b), key in keys.items():
-        key *= U(0x9E3779B97F4A7C15)
+        key *= np.uint32(0x9E3779B1)
         yield size, b, key
 
 
@@ -103,14 +106,31 @@ def pad(h: np.ndarray, at: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarra
     return out, place
 
 
-def edits(item: list[int], words: list[int]) -> int:
-    """Least edits that turn the item into some run of words."""
-    row = [0] * (len(words) + 1)
+def edits(item: np.ndarray, words: np.ndarray, limit: int) -> int:
+    """Least edits that turn the item into some run of words; limit + 1 if there are more. A vector operation for each row of the table."""
+    at = np.arange(len(words) + 1)
+    row = np.zeros(len(words) + 1, np.int64)
     for i, x in enumerate(item, 1):
-        diagonal, row[0] = row[0], i
-        for j, y in enumerate(words, 1):
-            diagonal, row[j] = row[j], min(diagonal + (x != y), row[j] + 1, row[j - 1] + 1)
-    return min(row)
+        row[1:] = np.minimum(row[:-1] + (words != x), row[1:] + 1)
+        row[0] = i
+        row = np.minimum.accumulate(row - at) + at  # words added one after another
+        if row.min() > limit:
+            return limit + 1
+    return int(row.min())
+
+
+def blocks(rows: Iterator, block: int) -> Iterator[list]:
+    """Rows (id, text) in blocks of at most so many, and BLOCK_BYTES of text unless a row has more."""
+    held, size = [], 0
+    for row in rows:
+        n = len((row[1] or "").encode())
+        if held and (len(held) == block or size + n > BLOCK_BYTES):
+            yield held
+            held, size = [], 0
+        held.append(row)
+        size += n
+    if held:
+        yield held
 
 
 class Items:
@@ -120,7 +140,7 @@ class Items:
         h, at = codes(pa.array(texts, pa.large_string()))
         self.ids, self.words = list(range(len(ids))), [h[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
         self.limit = [int(len(w) * (1 - SIMILARITY) + 1e-9) for w in self.words]
-        self.parts = [(i, o, size) for i, w in enumerate(self.words) if len(w) for size in [length_class(len(w))] for o in range(0, len(w) - size + 1, max(1, size // 2))]
+        self.parts = [(i, o, size) for i, w in enumerate(self.words) if len(w) for size in [length_class(len(w))] for o in range(0, len(w) - size + 1, max(1, size // 8))]
         self.part_item, self.part_offset = (np.array([x[k] for x in self.parts], np.int64) for k in (0, 1))
         self.sizes = sorted({size for *_, size in self.parts})
         edited = self._edited(np.random.default_rng(11))
@@ -136,7 +156,7 @@ class Items:
 
     def _index(self, walks: int) -> None:
         """Sorted keys of all parts and the part of each, and a bitmap of the keys' upper bits."""
-        self.walks, found, part = walks, [np.zeros(0, U)], [np.zeros(0, np.int64)]
+        self.walks, found, part = walks, [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         if self.parts:
             room = steps(self.sizes[-1])
             padded, _ = pad(np.concatenate(self.words), np.cumsum([0] + [len(w) for w in self.words]), room)
@@ -151,8 +171,9 @@ class Items:
         found, part = np.concatenate(found), np.concatenate(part)
         order = np.argsort(found, kind="stable")
         self.keys, self.part = found[order], part[order]
-        self.near = np.zeros(1 << 20, bool)
-        self.near[(self.keys >> U(44)).astype(np.int64)] = True
+        self.shift = np.uint32(32 - min(24, max(20, len(found).bit_length() + 4)))
+        self.near = np.zeros(1 << 32 - int(self.shift), bool)
+        self.near[self.keys >> self.shift] = True
 
     def _edited(self, rng: np.random.Generator) -> list[tuple[int, np.ndarray]]:
         """Items with as many random edits as the limit allows: all of a small benchmark, 200 of a large one."""
@@ -175,7 +196,7 @@ class Items:
         starts, parts = [], []
         for walk in range(self.walks):
             for _, _, key in walk_keys(padded, place, walk, self.sizes):
-                maybe = np.flatnonzero(self.near[(key >> U(44)).view(np.int64)])
+                maybe = np.flatnonzero(np.take(self.near, key >> self.shift))
                 lo, hi = np.searchsorted(self.keys, key[maybe]), np.searchsorted(self.keys, key[maybe], "right")
                 n = hi - lo
                 starts.append(np.repeat(maybe, n))
@@ -201,24 +222,24 @@ class Items:
                     if last - first < len(words) - limit:
                         continue
                     near = h[first:last]
-                    if np.array_equal(h[begin : begin + len(words)], words) and int(at[d]) <= begin and begin + len(words) <= int(at[d + 1]) or edits(words.tolist(), near.tolist()) <= limit:
+                    if np.array_equal(h[begin : begin + len(words)], words) and int(at[d]) <= begin and begin + len(words) <= int(at[d + 1]) or edits(words, near, limit) <= limit:
                         out.setdefault(d, set()).add(self.ids[i])
         return out
 
 
-def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
-    """docs with FOUND, the sorted ids of the items that leak into each."""
+def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, block: int = BLOCK, name: str = FOUND) -> DataFrame:
+    """docs with a column name of the sorted ids of the items that leak into each."""
     ship(spark)
-    out = docs.withColumn(FOUND, F.expr("cast(array() AS array<bigint>)"))
+    out = docs.withColumn(name, F.expr("cast(array() AS array<bigint>)"))
     rows = benchmark.select(F.col("item_id").cast("long"), "text").toLocalIterator()
-    while items := list(islice(rows, block)):
+    for items in blocks(rows, block):
         held = spark.sparkContext.broadcast(Items([r[0] for r in items], [r[1] for r in items]))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for batch in pieces(batches, "text", 1 << 20):
                 found = held.value.search(*codes(batch["text"]))
-                ids = [sorted({*old, *found.get(d, ())}, key=lambda i: (i is None, i or 0)) for d, old in enumerate(batch[FOUND].to_pylist())]
-                yield batch.set_column(batch.schema.get_field_index(FOUND), FOUND, pa.array(ids, pa.list_(pa.int64())))
+                ids = [sorted({*old, *found.get(d, ())}, key=lambda i: (i is None, i or 0)) for d, old in enumerate(batch[name].to_pylist())]
+                yield batch.set_column(batch.schema.get_field_index(name), name, pa.array(ids, pa.list_(pa.int64())))
 
         out = out.mapInArrow(run, out.schema)
     return out
@@ -231,4 +252,5 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents into which no item leaks."""
-    return leaks(spark, docs, load(spark, sf_dir, "benchmark")).where(F.size(FOUND) == 0).drop(FOUND)
+    name = unused(docs.columns, FOUND)
+    return leaks(spark, docs, load(spark, sf_dir, "benchmark"), name=name).where(F.size(name) == 0).drop(name)

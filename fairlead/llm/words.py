@@ -116,6 +116,14 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 19) ->
     release()
 
 
+def unused(names: list[str], name: str) -> str:
+    """name, with as many underscores after it as set it apart from all names."""
+    taken = {x.lower() for x in names}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def release() -> None:
     """Returns freed memory to the system, so that an idle worker holds little."""
     pa.default_memory_pool().release_unused()

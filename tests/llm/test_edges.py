@@ -275,8 +275,48 @@ def test_leak_walks(monkeypatch):
         decontaminate.Items(list(range(60)), texts)
 
 
+def plain_edits(item, words):
+    row = [0] * (len(words) + 1)
+    for i, x in enumerate(item, 1):
+        row = [i] + [min(row[j] + (x != y), row[j + 1] + 1) for j, y in enumerate(words)]
+        for j in range(1, len(row)):
+            row[j] = min(row[j], row[j - 1] + 1)
+    return min(row)
+
+
 def test_edits():
-    assert decontaminate.edits([1, 2, 3, 4], [9, 1, 2, 4, 9]) == 1 and decontaminate.edits([1, 2], [3]) == 2
+    assert decontaminate.edits(np.array([1, 2, 3, 4]), np.array([9, 1, 2, 4, 9]), 4) == 1 and decontaminate.edits(np.array([1, 2]), np.array([3]), 2) == 2
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        item, words = (rng.integers(0, 4, int(rng.integers(1, 15))) for _ in range(2))
+        n = plain_edits(item.tolist(), words.tolist())
+        assert decontaminate.edits(item, words, 20) == n and decontaminate.edits(item, words, 2) == min(n, 3)
+
+
+def test_leak_blocks(monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 10)
+    rows = [(1, "a" * 4), (2, None), (3, "b" * 7), (4, "c" * 50), (5, ""), (6, "d")]
+    assert [[r[0] for r in x] for x in decontaminate.blocks(iter(rows), 3)] == [[1, 2], [3], [4], [5, 6]]
+    assert [[r[0] for r in x] for x in decontaminate.blocks(iter(rows[:2]), 1)] == [[1], [2]]
+
+
+def test_leaks_brute_force(spark):
+    """Random documents, many with an edited item: none found that isn't within the limit, and nearly all that are."""
+    rng = np.random.default_rng(15)
+    items = [sentence(rng, int(n)).split() for n in rng.integers(6, 150, 25)]
+    texts = []
+    for k in range(200):
+        w, i = list(items[k % 25]), k % 25
+        for _ in range(int(rng.integers(0, int(len(w) * 0.2) + 3)) if k < 150 else 0):
+            at, kind = int(rng.integers(0, len(w))), int(rng.integers(0, 3))
+            w[at : at + (kind != 1)] = [sentence(rng, 1)] if kind != 2 else []
+        around = [sentence(rng, int(rng.integers(0, 60))).split() for _ in range(2)]
+        texts.append(around[0] + (w if k < 175 else []) + around[1])
+    docs = spark.createDataFrame([(k, " ".join(t), "x") for k, t in enumerate(texts)], "doc_id long, text string, fairlead_item_ids string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, i) for r in decontaminate.leaks(spark, docs.drop("fairlead_item_ids"), bench, 10).collect() for i in r[decontaminate.FOUND]}
+    want = {(k, i) for k, t in enumerate(texts) for i, w in enumerate(items) if plain_edits(w, t) <= int(len(w) * 0.2 + 1e-9)}
+    assert 80 < len(want) < 175 and got <= want and len(got) >= 0.95 * len(want)
 
 
 def plain_spans(text):
