@@ -6,21 +6,26 @@ size, and what is cut off is shared again by weight until none is above.
 
 A source's target is met by whole copies of it, as often as they fit, and a remaining budget. The remaining
 budget is fitted on the source's counts of documents by size: first the same part of every count, then single
-sizes in seeded order, and when what is left is small, a bounded-knapsack dynamic programme over bitsets that
-comes as near as it can. Of each size's documents, those with the least seeded hashes are taken, ranked within
-4,096 ranges of the hash so that no task ranks a whole hot group.
+sizes in seeded order until DP_WORDS or fewer are left, and then a bounded-knapsack dynamic programme over bitsets comes as
+near to the rest as the documents left can (DP_WORDS bounds its memory, not the rest's share: as long as documents of up to
+the rest's size are left, the error is under the least of them). Of each size's documents, those with the least seeded
+hashes are taken. They are counted in 4,096 ranges of the hash; only the documents of the one range in which a
+size's number runs out are ranked, so no task ranks a hot group.
 
-The driver sees one row per source (the recipe); a source's counts, one row per size, are fitted by one task.
+The driver sees one row per source (the recipe, so sources must be a list that a driver holds, not hosts); a source's
+counts, one row per size, are fitted by one task.
 
 Defined results: documents without words have size 0 and take 0 (as a pipeline stage they stay once); a null
-source is a source; rows with equal doc_id, source and size are interchangeable; an empty table gives no rows;
-reruns agree, as choices depend on values alone. Other columns are ignored.
+source is a source; rows with equal doc_id, source and size are interchangeable in the query, and told apart by their text in
+the stage, which takes exactly as many rows as the fit says; null doc_ids are hashed like a value of their own; very long
+texts are sizes like any other; an empty table gives no rows; reruns agree, as choices depend on values alone. Other columns,
+whatever their names, are kept by the stage and ignored otherwise.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fairlead.functions.tables import Scratch, load
@@ -65,7 +70,7 @@ def fit(counts: dict[int, int], budget: int, seed: int, dp_words: int = DP_WORDS
         more = min(counts[n] - take[n], (left - dp_words) // n + 1, left // n)
         take[n] += more
         left -= n * more
-    limit = left + max(order)
+    limit = 2 * left  # what overshoots by more is worse than nothing
     reach, steps, mask = 1, [], (1 << limit + 1) - 1
     for n in order:
         spare, k = min(counts[n] - take[n], limit // n), 1
@@ -76,7 +81,7 @@ def fit(counts: dict[int, int], budget: int, seed: int, dp_words: int = DP_WORDS
             spare, k = spare - k, k * 2
     below = (reach & (1 << left + 1) - 1).bit_length() - 1
     above = reach >> left
-    above = left + (above & -above).bit_length() - 1 if above else limit + left + 1
+    above = left + (above & -above).bit_length() - 1 if above else limit + 1
     at = below if left - below <= above - left else above
     for n, k, before in reversed(steps):
         if not before >> at & 1:
@@ -85,12 +90,17 @@ def fit(counts: dict[int, int], budget: int, seed: int, dp_words: int = DP_WORDS
     return take
 
 
-def mix_sources(spark: SparkSession, docs: DataFrame, seed: int = 2024, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies for each row of docs."""
-    key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))
-    rows = docs.select("doc_id", key.alias("src"), F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.lit(seed), "doc_id").alias("h"))
-    scratch = Scratch(spark)
-    rows = scratch.keep(rows, "sizes")
+def _keys(seed: int) -> list[Column]:
+    """A row's source, size, hash and range of the hash."""
+    h = F.xxhash64(F.lit(seed), "doc_id")
+    src = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))
+    size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    return [src.alias("src"), size.alias("size"), h.alias("h"), F.pmod(h, F.lit(RANGES)).alias("range")]
+
+
+def fitted(spark: SparkSession, rows: DataFrame, scratch: Scratch, seed: int, weights: tuple[float, ...], share: float) -> tuple[DataFrame, DataFrame]:
+    """For rows(src, size, range): the recipe (src, source_size, target, full copies), and of each size taken the range in which
+    the number runs out and how many of it are taken."""
     sizes = {r.src: r.n for r in rows.groupBy("src").agg(F.sum("size").alias("n")).collect()}
     goal = {("null" if k is None else f"={k}"): v for k, v in targets({None if k == "null" else k[1:]: v for k, v in sizes.items()}, weights, share).items()}
     recipe = [(k, n, goal[k], min(int(goal[k] // n), MOST) if n else 0) for k, n in sizes.items()]
@@ -102,25 +112,39 @@ def mix_sources(spark: SparkSession, docs: DataFrame, seed: int = 2024, weights:
         take = fit(counts, int(part["budget"].iloc[0]), seed)
         return pd.DataFrame({"src": part["src"].iloc[0], "size": list(take), "take": list(take.values())})
 
-    counts = rows.where("size > 0").groupBy("src", "size").agg(F.count("*").alias("n"))
-    take = counts.join(budgets, "src").groupBy("src").applyInPandas(chosen, "src string, size long, take long")
-    take = scratch.keep(take.where("take > 0"), "take")
-    rows = rows.withColumn("range", F.pmod("h", F.lit(RANGES)))
-    ranges = rows.where("size > 0").groupBy("src", "size", "range").agg(F.count("*").alias("n"))
+    ranges = scratch.keep(rows.where("size > 0").groupBy("src", "size", "range").agg(F.count("*").alias("n")), "ranges")
+    counts = ranges.groupBy("src", "size").agg(F.sum("n").alias("n"))
+    take = counts.join(budgets, "src").groupBy("src").applyInPandas(chosen, "src string, size long, take long").where("take > 0")
     before = F.sum("n").over(Window.partitionBy("src", "size").orderBy("range")) - F.col("n")
-    cut = ranges.withColumn("before", before).join(take, ["src", "size"]).where("before < take").select("src", "size", "range", "before", "take")
-    rank = F.row_number().over(Window.partitionBy("src", "size", "range").orderBy("h", "doc_id"))
-    ranked = rows.withColumn("rank", rank).join(cut, ["src", "size", "range"], "left").join(recipe, "src")
-    copies = F.col("full") + F.when(F.col("before") + F.col("rank") <= F.col("take"), 1).otherwise(0)
-    return ranked.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
+    cut = ranges.withColumn("before", before).join(take, ["src", "size"]).where("before < take AND before + n >= take")
+    return recipe, scratch.keep(cut.select("src", "size", F.col("range").alias("last"), (F.col("take") - F.col("before")).alias("most")), "cut")
+
+
+def taken(rows: DataFrame, recipe: DataFrame, cut: DataFrame, order: list[Column]) -> DataFrame:
+    """rows(src, size, range, ...) with source_size, target and copies."""
+    both = rows.join(cut, ["src", "size"], "left").join(recipe, "src")
+    clear = both.where("last IS NULL OR range <> last").withColumn("copies", F.expr("full + IF(range < last, 1, 0)"))
+    rank = F.row_number().over(Window.partitionBy("src", "size").orderBy(*order))
+    ranked = both.where("range = last").withColumn("rank", rank).withColumn("copies", F.expr("full + IF(rank <= most, 1, 0)")).drop("rank")
+    return clear.unionByName(ranked)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, seed: int = 2024, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE) -> DataFrame:
+    """doc_id, size, source_size, target, taken for each row of docs."""
+    scratch = Scratch(spark)
+    rows = scratch.keep(docs.select("doc_id", *_keys(seed)), "sizes")
+    recipe, cut = fitted(spark, rows, scratch, seed, weights, share)
+    return taken(rows, recipe, cut, ["h", "doc_id"]).selectExpr("doc_id", "size", "source_size", "target", "size * copies AS taken")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(spark, load(spark, sf_dir, "documents")).drop("copies")
+    return mix_sources(spark, load(spark, sf_dir, "documents"))
 
 
-def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, seed: int = 2024) -> DataFrame:
     """docs as often as the mix takes them; documents without words once."""
-    mixed = mix_sources(spark, docs).selectExpr("doc_id AS fairlead_id", "IF(size = 0, 1L, copies) AS fairlead_copies").groupBy("fairlead_id").agg(F.max("fairlead_copies").alias("fairlead_copies")).where("fairlead_copies > 0")
-    both = docs.join(mixed, docs["doc_id"].eqNullSafe(mixed["fairlead_id"]))
-    return both.select(docs["*"], F.expr("explode(sequence(1L, fairlead_copies))").alias("fairlead_copy")).drop("fairlead_copy")
+    scratch = Scratch(spark)
+    recipe, cut = fitted(spark, docs.select(*_keys(seed)).drop("h"), scratch, seed, WEIGHTS, SHARE)
+    rows = docs.select(F.struct("*").alias("row"), *_keys(seed))
+    mixed = taken(rows, recipe, cut, [F.col("h"), F.col("row.doc_id"), F.xxhash64("row.text")]).withColumn("copies", F.expr("IF(size = 0, 1L, copies)"))
+    return mixed.select("row", F.expr("explode(IF(copies > 0, sequence(1L, copies), array()))")).select("row.*")

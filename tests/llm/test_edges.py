@@ -367,6 +367,30 @@ def test_fit():
         assert abs(sum(n * c for n, c in take.items()) - budget) <= best + 2
 
 
+def test_fit_beyond_dp():
+    """Budgets far above DP_WORDS are met exactly while small documents are left, and giant documents don't make large tables."""
+    rng = np.random.default_rng(5)
+    for big in (0, 10**7):
+        counts = {int(n): int(c) for n, c in zip(rng.integers(1, 3000, 200), rng.integers(1, 500, 200), strict=True)} | ({big: 3} if big else {})
+        total = sum(n * c for n, c in counts.items())
+        for budget in (total // 3, total // 2 + 12_345, total // 10 * 9, mixing.DP_WORDS * 5 + 1):
+            take = mixing.fit(counts, budget, 3)
+            assert all(0 <= c <= counts[n] for n, c in take.items())
+            assert abs(sum(n * c for n, c in take.items()) - budget) <= min(n for n in counts if n) + 3
+    assert mixing.fit({10**6: 5}, 10**6 + 400_000, 1) == {10**6: 1} and mixing.fit({10**6: 5}, 600_000, 1) == {10**6: 1}
+
+
+def test_mix_stage_repeats(spark, tmp_path):
+    """Rows that share a doc_id, with equal and with other texts: the stage emits as many words as the mix takes."""
+    rows = [(i, f"w {'x ' * (i % 5)}", "a" if i % 3 else None) for i in range(60)] + [(7, "one two three", "a")] * 5 + [(7, "four five six", "a")] * 3 + [(None, "p q", "b")] * 4
+    docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, source string, size int, copies int")
+    want = sum(r.taken for r in mixing.mix_sources(spark, docs).collect())
+    out = mixing.stage(spark, docs, "")
+    got = out.collect()
+    assert out.columns == docs.columns and sum(len(WORD.findall(r.text)) for r in got) == want
+    assert sorted(map(str, got)) == sorted(map(str, mixing.stage(spark, docs.repartition(5), "").collect()))
+
+
 def test_mix(spark, docs):
     got = mixing.mix_sources(spark, docs).collect()
     again = mixing.mix_sources(spark, docs.repartition(3)).collect()
