@@ -5,28 +5,29 @@ of its words). Two documents are linked if their sets' Jaccard similarity is at
 are combined first, before any shuffle of them, so copies are never listed in pairs.
 
 Chosen paths: each set is embedded by TOKENS minwise values, tokens whose agreement is the similarity. At a root a
-few tokens are sampled, 1 / SIMILARITY of them on average, by a hash of the node; below it one, so that a group of
-near copies, which agree in nearly all tokens, isn't multiplied at each level. Sets that share the value of a
-sampled token go on to the same child. A child of up to SMALL sets is compared pair by pair on its tokens; a
+few tokens are sampled, 1 / SIMILARITY of them on average (at least one, so rather more), by a hash of the node; below it one,
+so that a group of near copies, which agree in nearly all tokens, isn't multiplied at each level. Sets that share the value of
+a sampled token go on to the same child. A child of up to SMALL sets is compared pair by pair on its tokens; a
 larger one is split again, up to DEPTH times. What is still together then agrees in every sampled token, and is
-handed on whole. RUNS independent trees give a pair at the threshold a chance of missing all first splits of
-0.2 ** RUNS or less. Each further split of a large group loses a pair on a path with chance 1 - similarity: of 3,000
-pairs at the threshold 0.9993 were left after three and 0.9957 after all DEPTH splits. RUNS is fixed so that the last
-figure is at least RECALL, which the tests measure on the same trees.
+handed on whole. The recursion is run again, with other samples, until RECALL of pairs at the threshold have met even where
+every node is split DEPTH times; that is measured on simulated pairs (runs()), and pairs in smaller nodes meet more often.
 
-Verification is exact: connected candidates form clusters, each set travels once to its cluster, and the similarity
-of all pairs in it is computed from the shingles (clusters over BLOCK sets in blocks, each pair of blocks its
-own task), so every link within a cluster is found and counted, and none that falls short of the threshold.
+Verification is exact on 52-bit hashes of shingles: connected candidates form clusters, each set travels once to its
+cluster, and the similarity of all pairs in it is computed from the shingles, so every link within a cluster is found and
+counted, and none that falls short of the threshold. A cluster of more than BLOCK sets or BLOCK_SHINGLES shingles is compared in
+blocks, each pair of blocks its own task: a cluster of n blocks ships n copies of its shingles.
 
 Result: one row per document with its class (the least doc_id among the documents connected by links) and the
 number of documents that it is linked to. Defined results: null and empty texts have the empty set and are linked
 to each other only; a null doc_id counts as larger than any; rows that are equal count as separate documents;
-an empty table gives no rows; other columns are ignored.
+very long texts are sets like any other (one of over LARGE shingles is compared by itself); an empty table gives no rows; other
+columns, whatever their names, are kept by the stage and ignored otherwise.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 RECALL = 0.99
 TOKENS = 64
-RUNS = 10
+MOST_RUNS = 100
 DEPTH = 4
 SMALL = 1000
 BLOCK = 500  # sets of a block at most
@@ -116,10 +117,10 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 
 def sampled(path: int) -> list[int]:
-    """The tokens that a node samples, the least draw first: each with a chance of 1 / (SIMILARITY * TOKENS), at least one."""
+    """The tokens that a root samples: each with a chance of 1 / (SIMILARITY * TOKENS), at least one."""
     draws = mix(np.arange(TOKENS, dtype=U) ^ U(mix1(path)))
     chosen = np.flatnonzero(draws < U(int(2**64 / (SIMILARITY * TOKENS))))
-    return chosen[np.argsort(draws[chosen])].tolist() or [int(draws.argmin())]
+    return chosen.tolist() or [int(draws.argmin())]
 
 
 def child(path: np.ndarray | int, token: np.ndarray | int, values: np.ndarray) -> np.ndarray:
@@ -127,22 +128,50 @@ def child(path: np.ndarray | int, token: np.ndarray | int, values: np.ndarray) -
         return mix(values.astype(U) + mix((np.asarray(token, U) + U(1)) * U(0x9E3779B97F4A7C15) + np.asarray(path, U)))
 
 
-def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    splits = [(mix1(run + 77), t) for run in range(RUNS) for t in sampled(mix1(run + 77))]
-    for batch in batches:
-        tokens = matrix(batch["tokens"])
-        for path, t in splits:
-            yield pa.RecordBatch.from_arrays([pa.array(child(path, t, tokens[:, t]).view(np.int64)), batch["node"]], names=["path", "node"])
+def roots(run: int, tokens: np.ndarray) -> list[np.ndarray]:
+    """The children that each row of tokens goes to from the root of a run, for each token sampled there."""
+    path = mix1(run + 77)
+    return [child(path, t, tokens[:, t]) for t in sampled(path)]
+
+
+def children(path: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """The child that each row of tokens goes to from its node."""
+    t = mix(np.arange(TOKENS, dtype=U) ^ mix(path)[:, None]).argmin(axis=1)
+    return child(path, t, tokens[np.arange(len(t)), t])
+
+
+@lru_cache
+def runs(recall: float = RECALL, pairs: int = 2000) -> int:
+    """How many runs it takes until so many of simulated pairs at the threshold have met where every node is split DEPTH times below the roots."""
+    rng = np.random.default_rng(6)
+    one = rng.integers(0, 1 << 32, (pairs, TOKENS), dtype=np.uint32)
+    two = np.where(rng.random(one.shape) < SIMILARITY, one, rng.integers(0, 1 << 32, one.shape, dtype=np.uint32))
+    met = np.zeros(pairs, bool)
+    for run in range(MOST_RUNS):
+        for left, right in zip(roots(run, one), roots(run, two), strict=True):
+            for _ in range(DEPTH):
+                left, right = np.where(left == right, children(left, one), 0), np.where(left == right, children(right, two), 1)
+            met |= left == right
+        if met.mean() >= recall:
+            return run + 1
+    raise ValueError(f"{MOST_RUNS} runs reach a recall of {met.mean()}; the target is {recall}")
+
+
+def _roots(count: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = matrix(batch["tokens"])
+            for n in range(count):
+                for path in roots(n, tokens):
+                    yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), batch["node"]], names=["path", "node"])
+
+    return run
 
 
 def _children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        tokens, path = matrix(batch["tokens"]), batch["path"].to_numpy().view(U)
-        node = batch["node"].to_numpy()
-        for p in np.unique(path):
-            own = path == p
-            t = sampled(int(p))[0]
-            yield pa.RecordBatch.from_arrays([pa.array(child(p, t, tokens[own, t]).view(np.int64)), pa.array(node[own])], names=["path", "node"])
+        path = children(batch["path"].to_numpy().view(U), matrix(batch["tokens"]))
+        yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), batch["node"]], names=["path", "node"])
 
 
 def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -253,7 +282,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def candidates(spark: SparkSession, sets: DataFrame, scratch: Scratch) -> DataFrame:
     """(a, b) between sets(node, tokens) that may be similar."""
-    rows = sets.select("node", "tokens").mapInArrow(_roots, "path long, node long")
+    rows = sets.select("node", "tokens").mapInArrow(_roots(runs()), "path long, node long")
     found = None
     for depth in range(DEPTH + 1):
         rows = scratch.keep(rows, f"paths{depth}")
@@ -310,6 +339,6 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class, that with the least doc_id; of rows equal in doc_id and text, one."""
-    kept = classes_of(spark, docs).where("struct(doc, row_key) = class").selectExpr("doc AS fairlead_doc", "row_key AS fairlead_key").distinct()
-    keyed = docs.withColumns({"fairlead_doc": F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)), "fairlead_key": F.xxhash64(docs["text"], F.lit(1))})
-    return keyed.join(kept, ["fairlead_doc", "fairlead_key"]).dropDuplicates(["fairlead_doc", "fairlead_key"]).select(*docs.columns)
+    kept = classes_of(spark, docs).where("struct(doc, row_key) = class").select("doc", "row_key").distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64("text", F.lit(1)).alias("row_key"))
+    return rows.join(kept, ["doc", "row_key"]).dropDuplicates(["doc", "row_key"]).select("row.*")

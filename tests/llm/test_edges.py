@@ -199,12 +199,12 @@ def test_jaccard_recall(spark):
 
 
 def test_jaccard_path_recall():
-    """Pairs at the threshold that are still together on some path when every node is split, DEPTH times below the roots."""
-    rng, pairs = np.random.default_rng(6), 600
+    """Other pairs at the threshold than those that set the number of runs, with every node split DEPTH times below the roots."""
+    rng, pairs, count = np.random.default_rng(16), 600, jaccard_join.runs()
     first = rng.integers(0, 1 << 32, (pairs, jaccard_join.TOKENS), dtype=np.uint32)
     second = np.where(rng.random(first.shape) < jaccard_join.SIMILARITY, first, rng.integers(0, 1 << 32, first.shape, dtype=np.uint32))
     tokens = pa.array([x.astype("<u4").tobytes() for x in np.stack([first, second], 1).reshape(-1, jaccard_join.TOKENS)], pa.binary())
-    rows = list(jaccard_join._roots([pa.RecordBatch.from_arrays([pa.array(np.arange(2 * pairs)), tokens], names=["node", "tokens"])]))
+    rows = list(jaccard_join._roots(count)([pa.RecordBatch.from_arrays([pa.array(np.arange(2 * pairs)), tokens], names=["node", "tokens"])]))
     for depth in range(jaccard_join.DEPTH + 1):
         path, node = np.unique(np.stack([np.concatenate([r[c].to_numpy() for r in rows]) for c in ("path", "node")]), axis=1)
         same = np.flatnonzero((path[1:] == path[:-1]) & (node[1:] // 2 == node[:-1] // 2))
@@ -213,6 +213,24 @@ def test_jaccard_path_recall():
         if depth < jaccard_join.DEPTH:
             rows = list(jaccard_join._children([pa.RecordBatch.from_arrays([pa.array(path), pa.array(node), tokens.take(pa.array(node))], names=["path", "node", "tokens"])]))
     assert len(np.unique(node // 2)) >= jaccard_join.RECALL * pairs
+    with pytest.raises(ValueError, match="the target is 2"):
+        jaccard_join.runs(2.0, 10)
+
+
+def test_jaccard_recall_split(spark, monkeypatch):
+    """Measured through Spark, at similarities near the threshold, with every node of more than two sets split."""
+    monkeypatch.setattr(jaccard_join, "SMALL", 2)
+    rng, texts = np.random.default_rng(9), []
+    for _ in range(60):  # groups of four that differ in places of their own
+        w = sentence(rng, 200).split()
+        for _ in range(4):
+            other = list(w)
+            for i in rng.choice(200, int(rng.integers(2, 5)), replace=False):
+                other[i] = "changed"
+            texts.append(" ".join(other))
+    want = near(list(enumerate(texts)))
+    got = sorted((r.doc_id, r.class_id, r.n_links) for r in jaccard_join.jaccard_join(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+    assert sum(n for *_, n in got) >= 0.99 * sum(n for *_, n in want) > 0
 
 
 @pytest.mark.parametrize("large", [1 << 17, 190, 0])
