@@ -12,9 +12,12 @@ noise are kept, which samples k documents without replacement in proportion to t
 is found by counting in ever finer ranges; the driver sees BUCKETS counts, the sample of labels and at most
 FEW keys.
 
+Each partition sends at most BUCKETS counts, so the shuffle grows with the partitions read, by 1.5 MB each at most.
+
 Defined results: a null or empty text has log weight 0; without good or without bad labels all documents are
 kept; rows with equal doc_id get the same noise, and rows tied with the k-th key are all kept; null doc_ids
-are unlabelled; an empty table gives no rows; other columns are ignored.
+are unlabelled and share their noise; very long texts are weighed whole; an empty table gives no rows; other columns, whatever
+their names, are kept by the stage and ignored otherwise.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fairlead.functions.tables import Scratch, load
-from fairlead.llm.words import U, buffers, mix, pieces, split
+from fairlead.llm.words import U, buffers, mix, pieces, split, unused
 
 BUCKETS = 1 << 16
 GRAM = 4
@@ -111,21 +114,21 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> tuple[Model,
 WEIGHT = "fairlead_log_weight"
 
 
-def weighed(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
-    """docs with WEIGHT."""
+def weighed(spark: SparkSession, docs: DataFrame, model: Model, name: str = WEIGHT) -> DataFrame:
+    """docs with a column name of log weights."""
     held = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
-            yield batch.append_column(WEIGHT, pa.array(held.value.weigh(batch["text"])))
+            yield batch.append_column(name, pa.array(held.value.weigh(batch["text"])))
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(WEIGHT, T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
-def key(doc_id: str = "doc_id") -> Column:
+def key(name: str = WEIGHT) -> Column:
     """The log weight plus Gumbel noise that depends on doc_id alone."""
-    uniform = (F.shiftrightunsigned(F.xxhash64(F.col(doc_id).cast("long"), F.lit(SEED + 1)), 11).cast("double") + 0.5) / float(1 << 53)
-    return F.col(WEIGHT) - F.log(-F.log(uniform))
+    uniform = (F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("long"), F.lit(SEED + 1)), 11).cast("double") + 0.5) / float(1 << 53)
+    return F.col(name) - F.log(-F.log(uniform))
 
 
 def kth_largest(df: DataFrame, column: str, k: int, few: int = FEW, bins: int = 1000) -> float:
@@ -169,5 +172,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the classifier keeps. They are weighed again, not joined, so that texts aren't shuffled."""
     _, model, least = select(spark, docs, load(spark, sf_dir, "labels"))
-    names = docs.columns
-    return weighed(spark, docs, model).where(key() >= least).select(*names)
+    name = unused(docs.columns, WEIGHT)
+    return weighed(spark, docs, model, name).where(key(name) >= least).drop(name)

@@ -504,6 +504,52 @@ def test_quality(spark):
     assert all(r.kept for r in quality.select(spark, docs, labels.where("quality = 9"))[0].collect())
 
 
+def test_quality_plain(spark):
+    """Counts, log weights, cut, keys and the k kept, computed plainly from n-grams and sets."""
+    rng = np.random.default_rng(21)
+    texts = [None, "", "x", "same same same", *(" ".join(rng.choice(["Good", "fine.", "words", "and", "more"], int(rng.integers(3, 30)))) for _ in range(60)), *(" ".join(rng.choice(["$$$", "BUY", "now!!", "words"], int(rng.integers(3, 30)))) for _ in range(40))]
+    texts += [texts[10], texts[90]]
+    docs = spark.createDataFrame([(i if i != 30 else None, t, "a") for i, t in enumerate(texts)], "doc_id long, text string, key string")
+    labels = {i: int(i < 64) for i in range(4, 104, 2)}
+    rows, model, least = quality.select(spark, docs, spark.createDataFrame([(i, q, 0) for i, q in labels.items()], "doc_id long, quality int, toxic int"))
+    got = {(r.doc_id, round(r.log_weight, 6), r.kept) for r in rows.collect()}
+    sample = [r[0] for r in spark.createDataFrame([(i,) for i in labels], "i long").orderBy(F.xxhash64("i", F.lit(quality.SEED)), "i").collect()]
+
+    def grams(t):  # buckets of one text
+        return quality.features(pa.array([t], pa.large_string()))[0].tolist()
+
+    def shape(t):
+        return "".join("a" if ord(c) >= 0x80 or c.islower() else "A" if c.isupper() else "0" if c.isdigit() else c for c in t)
+
+    seen = {}
+    for t in texts:  # equal n-grams share a bucket; n-grams are counted as often as they come
+        forms = [shape(t or "")[i : i + 4] for i in range(len(t or "") - 3)]
+        words = (t or "").split()
+        forms += ["same" if a == b else (a, b) for a, b in itertools.pairwise(words)]
+        assert len(grams(t)) == len(forms)
+        for form, bucket in zip(forms, grams(t), strict=True):
+            assert seen.setdefault(form, bucket) == bucket
+    raw, target = np.zeros(quality.BUCKETS), np.zeros(quality.BUCKETS)
+    good = {i for i in sample[::2] if labels[i] == 1}
+    for i, t in enumerate(texts):
+        for b in grams(t):
+            raw[b] += 1
+            target[b] += i in good and i != 30
+    weight = [round(sum(np.log((target[b] + 1) / (target.sum() + quality.BUCKETS)) - np.log((raw[b] + 1) / (raw.sum() + quality.BUCKETS)) for b in grams(t)), 6) for t in texts]
+    held = [i for i in sample[1::2] if i != 30]
+    at = sorted({weight[i] for i in held})
+    cuts = [at[0] - 1] + [(a + b) / 2 for a, b in itertools.pairwise(at)]
+    ones, zeros = [weight[i] for i in held if labels[i]], [weight[i] for i in held if not labels[i]]
+    loss = [quality.GOOD_COUNTS * sum(w < c for w in ones) / len(ones) + sum(w >= c for w in zeros) / len(zeros) for c in cuts]
+    wide = {c: b - a for c, a, b in zip(cuts[1:], at, at[1:], strict=False)} | {cuts[0]: 0}
+    cut = max((c for c, x in zip(cuts, loss, strict=True) if x <= min(loss) + 1e-9), key=lambda c: wide[c])
+    noise = {r.i: (((r.h & (1 << 64) - 1) >> 11) + 0.5) / (1 << 53) for r in spark.createDataFrame([(i if i != 30 else None,) for i in range(len(texts))], "i long").select("i", F.xxhash64("i", F.lit(quality.SEED + 1)).alias("h")).collect()}
+    keys = [w - np.log(-np.log(noise[i if i != 30 else None])) for i, w in enumerate(weight)]
+    k = sum(w >= cut for w in weight)
+    top = sorted(keys, reverse=True)[k - 1]
+    assert got == {(i if i != 30 else None, w, x >= top - 1e-9) for i, (w, x) in enumerate(zip(weight, keys, strict=True))} and 0 < k < len(texts)
+
+
 def test_kth(spark):
     rng = np.random.default_rng(1)
     values = [float(v) for v in np.concatenate([rng.normal(0, 1, 3000), np.full(500, 7.0), [1e9, -1e9]])]
