@@ -48,7 +48,7 @@ def quantize_weight(nm: C) -> Column:
     """Hundredths of a nautical mile, half away from zero, at least 1 if positive; an error above the range. Single precision, as stored."""
     nm = col(nm).cast("float")
     return (
-        F.when(nm > F.lit(LARGEST_WEIGHT_NM).cast("float"), F.raise_error(F.concat(F.lit("edge weight exceeds u16 hundredths: "), nm.cast("string"))).cast("int"))
+        F.when(nm > F.lit(LARGEST_WEIGHT_NM).cast("float"), F.raise_error(F.concat(F.lit(f"an edge is too long to store (at most {LARGEST_WEIGHT_NM} nm): "), nm.cast("string"))).cast("int"))
         .when(nm > 0, F.greatest(F.lit(1), F.floor((nm * F.lit(100).cast("float")).cast("double") + 0.5).cast("int")))
         .otherwise(0)
     )

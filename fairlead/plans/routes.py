@@ -1,7 +1,8 @@
 """Batches of route requests: a DataFrame in, a DataFrame out, the search in Arrow kernels.
 
-The chart (nodes, adjacency and coast) is broadcast, so its rows are counted first: a chart over MOST_ROWS rows is
-refused with an error that says so; the planet's published graph is within it on large executors.
+The chart (nodes, adjacency and coast) is broadcast and held by each Python worker, so its bytes are reckoned from counted rows
+before any is collected: a chart over MOST_BYTES is refused with an error that says so. It takes NODE_BYTES a node,
+EDGE_BYTES a directed edge and COAST_BYTES a coast segment, on a grid with 8 neighbours about 0.1 GB for a million nodes.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ from fairlead.functions.tables import ship
 from fairlead.operators import kernel
 from fairlead.operators.grid import QuadGrid
 
-MOST_ROWS = 400_000_000
+MOST_BYTES = 4 << 30
+NODE_BYTES, EDGE_BYTES, COAST_BYTES = 34, 8, 88
 RESULT = "distance_nm double, raw_hops int, smooth_hops int, coordinates array<array<double>>, land_legs array<int>"
 
 
@@ -30,16 +32,21 @@ def snap_rule(grid: QuadGrid, levels: range) -> kernel.SnapRule:
 
 def chart(nodes: DataFrame, edges: DataFrame, coast: DataFrame) -> kernel.Chart:
     """nodes(node_id, cell, lat, lon, shore_q), edges(src, dst, weight_cnm) both ways, coast(x1, y1, x2, y2)."""
-    rows = nodes.count() + edges.count() + coast.count()
-    if rows > MOST_ROWS:
-        raise ValueError(f"the chart has {rows} rows; at most {MOST_ROWS} are broadcast")
-    n = nodes.orderBy("node_id").toPandas()
-    e = edges.select("src", "dst", "weight_cnm").toPandas()
-    offsets, target, weight = kernel.adjacency(len(n), e["src"].to_numpy(), e["dst"].to_numpy(), e["weight_cnm"].to_numpy())
-    main = n["main"].to_numpy(bool) if "main" in n else np.ones(len(n), bool)
-    # the stored coast is single precision
-    coast_rows = coast.select("x1", "y1", "x2", "y2").toPandas().to_numpy(np.float32).astype(float)
-    return kernel.Chart(n["cell"].to_numpy(np.int64), n["lat"].to_numpy(float), n["lon"].to_numpy(float), n["shore_q"].to_numpy(np.int64), main, offsets, target, weight, kernel.Coast(coast_rows))
+    size = nodes.count() * NODE_BYTES + edges.count() * EDGE_BYTES + coast.count() * COAST_BYTES
+    if size > MOST_BYTES:
+        raise ValueError(f"the chart takes {size} bytes in each worker; at most {MOST_BYTES} are broadcast")
+    columns = ["cell", "lat", "lon", "shore_q", *(["main"] if "main" in nodes.columns else [])]
+    n = nodes.orderBy("node_id").select(*columns).toArrow()
+    e = edges.select("src", "dst", "weight_cnm").orderBy("src", "dst").toArrow()
+    c = coast.select("x1", "y1", "x2", "y2").toArrow()
+
+    def column(table: pa.Table, name: str, kind: type) -> np.ndarray:
+        return table[name].to_numpy().astype(kind, copy=False)
+
+    offsets, target, weight = kernel.adjacency(n.num_rows, *(column(e, x, np.int32) for x in ("src", "dst", "weight_cnm")))
+    main = column(n, "main", bool) if "main" in columns else np.ones(n.num_rows, bool)
+    rows = np.stack([column(c, x, np.float32) for x in ("x1", "y1", "x2", "y2")], axis=1)  # the stored coast is single precision
+    return kernel.Chart(column(n, "cell", np.int64), column(n, "lat", float), column(n, "lon", float), column(n, "shore_q", np.uint8), main, offsets, target, weight, kernel.Coast(rows))
 
 
 def route(spark: SparkSession, requests: DataFrame, held: kernel.Chart, grid: QuadGrid, rule: kernel.SnapRule) -> DataFrame:
