@@ -267,3 +267,19 @@ def time_text(us: C) -> Column:
     """Microseconds as us, ms or s."""
     us = col(us)
     return F.when(us < 1000, F.format_string("%dus", us.cast("long"))).when(us < 1_000_000, F.format_string("%.1fms", us / 1e3)).otherwise(F.format_string("%.2fs", us / 1e6))
+
+
+def count_text(n: C) -> Column:
+    """A whole number with thousands separators."""
+    return F.format_number(col(n).cast("long"), 0)
+
+
+def utc_text(at: C) -> Column:
+    """A time of a UTC session as ISO text, to the second."""
+    return F.date_format(col(at), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def whole_log2(n: C) -> Column:
+    """The exponent of the largest power of two up to n; null below 1."""
+    n = col(n).cast("long")
+    return F.when(n >= 1, F.length(F.bin(n)) - 1)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fairlead.functions import geo
+from fairlead.functions.tables import Scratch
 from fairlead.operators import spatial
 from fairlead.operators.components import components
 from fairlead.operators.grid import QuadGrid
@@ -68,9 +69,19 @@ def shore_distance(cells: DataFrame, coast: DataFrame, grid: QuadGrid) -> DataFr
 
 
 def dense_ids(cells: DataFrame) -> DataFrame:
-    """(cell, node_id): places in ascending order of cell, by a range sort and numbered partitions, with no single task."""
-    ordered = cells.select("cell").repartitionByRange("cell").sortWithinPartitions("cell")
-    return ordered.rdd.map(lambda r: r.cell).zipWithIndex().toDF("cell long, node_id long").selectExpr("cell", "cast(node_id AS int) AS node_id")
+    """(cell, node_id): places in ascending order of cell. Ranges of cells are written with their number; a cell's place is
+    the number of cells in the ranges before (one row for each range) and its rank within its own."""
+    spark = cells.sparkSession
+    ranged = Scratch(spark).keep(cells.select("cell").repartitionByRange("cell").withColumn("part", F.spark_partition_id()), "ranges")
+    counts = ranged.groupBy("part").agg(F.count("*").alias("n"))
+    before = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    rank = F.row_number().over(Window.partitionBy("part").orderBy("cell"))
+    return ranged.withColumn("rank", rank).join(F.broadcast(before), "part").select("cell", (F.col("before") + F.col("rank") - 1).cast("int").alias("node_id"))
+
+
+def finest_level(cells: DataFrame, grid: QuadGrid) -> DataFrame:
+    """One row: the finest level of any cell, which bounds the levels to link."""
+    return cells.agg(F.max(grid.level("cell")).alias("level"))
 
 
 def nodes_of(cells: DataFrame, shore: DataFrame, grid: QuadGrid) -> DataFrame:

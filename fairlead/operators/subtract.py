@@ -48,6 +48,16 @@ def boundary(land_edges: DataFrame, water_edges: DataFrame, land: DataFrame, wat
     return spatial.edge_boxes(outside.select("x1", "y1", "x2", "y2").unionByName(inside.select("x1", "y1", "x2", "y2")))
 
 
+def envelope_counts(land: DataFrame, water: DataFrame) -> DataFrame:
+    """One row: land polygons, those whose box meets the common box of the water, and water polygons; of (poly_id, rings) each."""
+    def boxes(df):
+        return df.select(geo.box_of(F.element_at("rings", 1)).alias("b")).select("b.*")
+
+    common = boxes(water).agg(F.struct(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")).alias("common"), F.count("*").alias("n_water"))
+    each = boxes(land).select(F.struct("x0", "y0", "x1", "y1").alias("own")).join(F.broadcast(common))
+    return each.agg(F.count("*").alias("n_land"), F.count_if(geo.boxes_meet("own", "common")).alias("n_meeting"), F.max("n_water").alias("n_water"))
+
+
 class Land:
     """What the cascade and the edges ask of land."""
 

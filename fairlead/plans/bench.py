@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fairlead.functions import geo
@@ -36,16 +36,20 @@ ROUTES = (
 REGRESSION = 0.10
 
 
-def nearest_index(values: str, percent: int) -> Column:
-    """The value at trunc(n * percent / 100) of the sorted values, without interpolation."""
-    ordered = F.sort_array(F.collect_list(values))
-    n = F.count(values)
-    return F.element_at(ordered, F.least(F.floor(n * F.lit(percent) / 100), n - 1).cast("int") + 1)
+def statistics(timings: DataFrame, by: str, us: str) -> DataFrame:
+    """min, p50, p95 and max of each group's timings: the value at trunc(n * percent / 100) of the sorted ones, without interpolation.
 
+    Equal timings are counted first, before the shuffle; no group is held as an array.
+    """
+    counts = timings.groupBy(F.col(by).alias("by"), F.col(us).alias("us")).agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("by").orderBy("us"))
+    ranked = counts.withColumn("upto", upto).join(timings.groupBy(F.col(by).alias("by")).agg(F.count(us).alias("all")), "by")
 
-def statistics(timings: DataFrame, by: str, us: str) -> DataFrame:
-    """min, p50, p95 and max of each group's timings."""
-    return timings.groupBy(by).agg(F.min(us).alias("min_us"), nearest_index(us, 50).alias("p50_us"), nearest_index(us, 95).alias("p95_us"), F.max(us).alias("max_us"))
+    def at(percent: int) -> Column:
+        return F.min(F.when(F.col("upto") > F.least(F.floor(F.col("all") * F.lit(percent) / 100), F.col("all") - 1), F.col("us")))
+
+    found = ranked.where("us IS NOT NULL").groupBy("by").agg(F.min("us").alias("min_us"), at(50).alias("p50_us"), at(95).alias("p95_us"), F.max("us").alias("max_us"))
+    return found.withColumnRenamed("by", by)
 
 
 def compare(current: DataFrame, baseline: DataFrame, same_buffer: bool | Column = True) -> DataFrame:
@@ -93,8 +97,6 @@ def as_json(stats: DataFrame, **about) -> DataFrame:
 
 def water_spans(points: DataFrame, by: str) -> DataFrame:
     """points(by, i, x, y, land: the leg from this point on crosses land) as (by, span, n_spans, pts): spans between land legs of at least two points."""
-    from pyspark.sql import Window
-
     order = Window.partitionBy(by).orderBy("i")
     span = F.coalesce(F.sum(F.col("land").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     spans = points.withColumn("raw_span", span).groupBy(by, "raw_span").agg(F.array_sort(F.collect_list(F.struct("i", "x", "y"))).alias("pts")).where(F.size("pts") >= 2)

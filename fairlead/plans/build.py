@@ -19,6 +19,15 @@ def coastline(land: DataFrame) -> DataFrame:
     return lines.select(F.struct("poly_id", "ring", "chunk").alias("seg_id"), "pts")
 
 
+def chunk_points(points: DataFrame, line: str, i: str, most: int = 256) -> DataFrame:
+    """points of polylines (i from 0) with the chunk they belong to; a chunk's last point is the next one's first. No polyline is held as an array."""
+    step = most - 1
+    own = F.expr(f"div({i}, {step})")
+    chunks = F.when((F.col(i) % step == 0) & (F.col(i) > 0), F.array(own - 1, own)).otherwise(F.array(own))
+    last = points.groupBy(line).agg(F.max(i).alias("last"))
+    return points.withColumn("chunk", F.explode(chunks)).join(last, line).where(F.col("chunk") * step < F.col("last")).drop("last")
+
+
 def build(spark: SparkSession, land: DataFrame, config: Cascade, passages: DataFrame | None = None, box: tuple[float, float, float, float] | None = None, water: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """nodes, edges (both ways) and coast of land(poly_id, rings); each stage is written before the next.
 

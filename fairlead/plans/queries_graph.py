@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fairlead.functions import geo
 from fairlead.functions.tables import load
 from fairlead.operators import cascade, graph
-from fairlead.plans import routes, sea
+from fairlead.plans import build, routes, sea
 from fairlead.plans.queries_geo import HAVERSINE, LAND, PINS
 
 QUERIES, SQL = {}, {}
@@ -188,16 +188,15 @@ def coastline_chunks(spark, sf_dir):
     items = load(spark, sf_dir, "lineitem")
     line = F.col("l_suppkey") % 7
     i = F.row_number().over(Window.partitionBy(line).orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
-    point = F.struct(((F.col("l_partkey") % 1440) / 4.0 - 180).alias("x"), ((F.col("l_suppkey") % 720) / 4.0 - 90).alias("y"))
-    lines = items.select(line.alias("line"), i.alias("i"), point.alias("p")).groupBy("line").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "p"))), lambda s: s["p"]).alias("pts"))
-    cut = lines.select("line", F.posexplode(geo.chunks("pts")).alias("chunk", "c"))
-    return cut.select("line", F.col("chunk").cast("long").alias("chunk"), F.size("c").cast("long").alias("n_points"), F.element_at("c", 1)["x"].alias("first_x"), F.element_at("c", -1)["y"].alias("last_y"))
+    points = items.select(line.alias("line"), (i - 1).cast("long").alias("i"), ((F.col("l_partkey") % 1440) / 4.0 - 180).alias("x"), ((F.col("l_suppkey") % 720) / 4.0 - 90).alias("y"))
+    cut = build.chunk_points(points, "line", "i").groupBy("line", "chunk")
+    return cut.agg(F.count("*").alias("n_points"), F.min_by("x", "i").alias("first_x"), F.max_by("y", "i").alias("last_y"))
 
 
 @query(f"""WITH {PINS}, w AS (SELECT k, x, y, lead(x) OVER (PARTITION BY k % 10 ORDER BY k) AS x2, lead(y) OVER (PARTITION BY k % 10 ORDER BY k) AS y2 FROM pins)
 SELECT k % 10 AS line, round(sum({HAVERSINE.format('y', 'y2', 'x', 'x2')}), 5) AS nm, count(*) AS legs FROM w WHERE x2 IS NOT NULL GROUP BY 1""")
 def path_lengths(spark, sf_dir):
-    """Sum of the legs between consecutive points, as an array expression over each line."""
-    lines = sea.pins(spark, sf_dir).groupBy((F.col("k") % 10).alias("line")).agg(F.array_sort(F.collect_list(F.struct("k", "x", "y"))).alias("p"))
-    legs = F.zip_with(F.slice("p", F.lit(1), F.size("p") - 1), F.slice("p", F.lit(2), F.size("p") - 1), lambda a, b: geo.haversine_nm(a["y"], a["x"], b["y"], b["x"]))
-    return lines.select("line", F.round(F.aggregate(legs, F.lit(0.0), lambda s, d: s + d), 5).alias("nm"), (F.size("p") - 1).cast("long").alias("legs"))
+    """Sum of the legs between consecutive points."""
+    order = Window.partitionBy(F.col("k") % 10).orderBy("k")
+    legs = sea.pins(spark, sf_dir).select((F.col("k") % 10).alias("line"), "x", "y", F.lead("x").over(order).alias("x2"), F.lead("y").over(order).alias("y2")).where("x2 IS NOT NULL")
+    return legs.groupBy("line").agg(F.round(F.sum(geo.haversine_nm("y", "x", "y2", "x2")), 5).alias("nm"), F.count("*").alias("legs"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from fairlead.plans import queries_geo, queries_graph, queries_misc
+from fairlead.plans import queries_geo, queries_graph, queries_misc, queries_route
 
-PARTS = (queries_geo, queries_graph, queries_misc)
+PARTS = (queries_geo, queries_graph, queries_misc, queries_route)
 
 
 def queries():

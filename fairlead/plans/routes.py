@@ -8,6 +8,7 @@ EDGE_BYTES a directed edge and COAST_BYTES a coast segment, on a grid with 8 nei
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -94,6 +95,42 @@ def info(nodes: DataFrame, edges: DataFrame, version: int = 3) -> DataFrame:
     return nodes.agg(F.count("*").alias("num_nodes")).crossJoin(edges.agg(F.count("*").alias("num_edges"))).select(F.lit(version).alias("version"), "num_nodes", "num_edges")
 
 
+def searched(spark: SparkSession, pairs: DataFrame, held: kernel.Chart, buffer_nm: float = 0.0) -> DataFrame:
+    """pairs(start, goal) with path, the node ids of a cheapest way (null if there is none), and cost_cnm, its weights in hundredths."""
+    ship(spark)
+    shared = spark.sparkContext.broadcast(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths, costs = [], []
+            for start, goal in zip(batch["start"].to_pylist(), batch["goal"].to_pylist(), strict=True):
+                found = kernel.search(shared.value, start, goal, buffer_nm, exact=True)
+                paths.append(found and found[0])
+                costs.append(found and sum(round(float(w[t == b][0]) * 100) for a, b in pairwise(found[0]) for t, w in [shared.value.neighbors(a)]))
+            yield pa.RecordBatch.from_arrays([batch["start"], batch["goal"], pa.array(paths, pa.list_(pa.int32())), pa.array(costs, pa.int64())], names=["start", "goal", "path", "cost_cnm"])
+
+    return pairs.select(F.col("start").cast("int"), F.col("goal").cast("int")).mapInArrow(run, "start int, goal int, path array<int>, cost_cnm long")
+
+
+def smoothed(spark: SparkSession, paths: DataFrame, coast: kernel.Coast, buffer_nm: float = 0.0) -> DataFrame:
+    """paths(path_id, pts array<struct<x, y>>) with kept (indices of the points kept), land (kept legs that cross land) and water_nm."""
+    ship(spark)
+    shared = spark.sparkContext.broadcast(coast)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for pts in batch["pts"].to_pylist():
+                line = [(p["x"], p["y"]) for p in pts]
+                q = [min(255, int(shared.value.point_nm(*p) / geo.SHORE_UNIT_NM)) for p in line] if buffer_nm > 0 else [255] * len(line)
+                kept, land = kernel.smooth(line, q, shared.value, buffer_nm)
+                out.append((kept, land, kernel.water_nm([line[i] for i in kept], land)))
+            kept, land, water = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch["path_id"], pa.array(kept, pa.list_(pa.int32())), pa.array(land, pa.list_(pa.int32())), pa.array(water, pa.float64())], names=["path_id", "kept", "land", "water_nm"])
+
+    return paths.select(F.col("path_id").cast("long"), "pts").mapInArrow(run, "path_id long, kept array<int>, land array<int>, water_nm double")
+
+
 def costs_from(spark: SparkSession, starts: DataFrame, held: kernel.Chart) -> DataFrame:
     """(start, node_id, cost_cnm): exact least costs from each of starts(start) to all nodes, in whole hundredths."""
     ship(spark)

@@ -9,6 +9,8 @@ import urllib.request
 import zipfile
 from pathlib import Path
 
+from pyspark.sql import SparkSession
+
 
 def unpack(archive: str, folder: str) -> Path:
     """Unpacks a zip's files into the folder, without their paths; does nothing if the folder has a .shp already.
@@ -50,3 +52,13 @@ def ensure(path: str, url: str | None = None) -> Path:
     finally:
         held.unlink(missing_ok=True)
     return target
+
+
+def put(spark: SparkSession, path: str, data: bytes) -> None:
+    """Writes a file from the driver to any store that Spark reads."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()

@@ -42,7 +42,20 @@ def cell_features(cells: DataFrame, grid: QuadGrid) -> DataFrame:
 
 def coast_features(lines: DataFrame) -> DataFrame:
     """lines(seg_id, pts) as (seg_id, feature); lines of fewer than two points are left out."""
-    return lines.where(F.size("pts") >= 2).select("seg_id", feature(F.lit('{"layer":"coastline"}'), "LineString", line_text(F.col("pts"))).alias("feature"))
+    return lines.where(F.size("pts") >= 2).select("seg_id", feature(F.lit('{"layer":"coastline","stroke":"#ff0000","stroke-width":1.5}'), "LineString", line_text(F.col("pts"))).alias("feature"))
+
+
+def route_features(spans: DataFrame, ends: DataFrame) -> DataFrame:
+    """(name, feature): a line for each of spans(name, span, n_spans, pts, distance_nm, passage, land_legs), named as part i of n if there
+    are several, and two markers for each of ends(name, from_lat, from_lon, to_lat, to_lon)."""
+    several = F.col("n_spans") > 1
+    label = F.when(several, F.format_string("%s (part %d/%d)", "name", "span", "n_spans")).otherwise(F.col("name"))
+    given = {"name": label, "distance_nm": F.format_string("%.1f", "distance_nm"), "category": F.when(F.col("passage"), "passage").otherwise("sailing"), "stroke": F.when(F.col("passage"), "#0000ff").otherwise("#0088ff"), "stroke-width": F.lit(3), "stroke-opacity": F.lit(0.8), "land_legs": F.col("land_legs"), "part": F.when(several, F.col("span")), "parts": F.when(several, F.col("n_spans"))}
+    lines = spans.select("name", feature(F.to_json(F.struct(*(v.alias(k) for k, v in given.items()))), "LineString", line_text(F.col("pts"))).alias("feature"))
+    for which, color_of, lon, lat in (("start", "#00cc00", "from_lon", "from_lat"), ("end", "#ff0000", "to_lon", "to_lat")):
+        marker = F.to_json(F.struct(F.concat("name", F.lit(f" ({which})")).alias("name"), F.lit(color_of).alias("marker-color"), F.lit("small").alias("marker-size"), F.lit("circle").alias("marker-symbol")))
+        lines = lines.unionByName(ends.select("name", feature(marker, "Point", position(F.col(lon), F.col(lat))).alias("feature")))
+    return lines
 
 
 def clip_lines(lines: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
