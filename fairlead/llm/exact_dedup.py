@@ -10,8 +10,9 @@ Equal rows are combined by (address, salt) before they are dealt out, so a group
 a few rows; the join that brings the result back to the rows is one that Spark can split by skew.
 
 Defined results: an empty table gives no rows; a null doc_id counts as larger than any other, and if a group has
-only such rows its keep_id is null; rows that share both text and doc_id stay or go together; other columns are
-ignored, whatever their names.
+only such rows its keep_id is null; rows that share both text and doc_id stay or go together; very long texts count by their digest
+like any other; other columns are ignored, whatever their names. A partition's index lies in one worker, at about 70 bytes an
+address: a partition of the shuffle should hold no more than a few million distinct texts.
 """
 
 from __future__ import annotations

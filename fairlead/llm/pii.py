@@ -11,7 +11,7 @@ same pattern gives the gaps between matches. The patterns are possessive and anc
 change a match, so that a long run costs linear time.
 
 Defined results: a null or empty text has no spans; repeated rows are treated alike; an empty table gives no
-rows; other columns are ignored, whatever their names. Texts are read whole.
+rows; other columns are ignored, whatever their names. Texts are read whole, however long; null doc_ids are kept as they are.
 """
 
 from __future__ import annotations

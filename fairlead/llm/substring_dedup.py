@@ -16,7 +16,8 @@ super-k-mers of its minimiser:
 
 Defined results: a null or empty text has no words; a document under 50 words loses none; a null doc_id counts as
 larger than any; rows with the same doc_id don't mark each other, and rows equal in doc_id and text are
-treated alike; repeats within one document stay; an empty table gives no rows; other columns are ignored.
+treated alike; repeats within one document stay; very long texts are cut to super-k-mers like any other, a batch of its own each;
+an empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ URLs that no rule fits get the default verdict, which is to allow.
 
 Rules are broadcast in blocks of a fixed size, one pass of the pages for each, so the broadcast has a bound
 whatever the number of rules. Null URLs and those without `://` have an empty host and path and no rule. Repeated
-rows are judged alike; an empty table gives no rows; page_id may be null or repeat.
+rows are judged alike; an empty table gives no rows; page_id may be null or repeat; very long URLs are judged whole; other
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
