@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
+from typing import ClassVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,10 +39,12 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else one of our own (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; only a local session, as in tests, gets one of our own."""
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if given:
         return given.rstrip("/")
+    if not re.match(r"local(\[.*)?$", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if getattr(shared_dir, "own", None) is None:
         shared_dir.own = f"file://{tempfile.mkdtemp(prefix='fairlead-')}"
     return shared_dir.own
@@ -50,12 +54,27 @@ class Scratch:
     """Tables written to the shared folder, to cut lineage: a lost executor costs no more than the running step.
 
     keep() writes and rereads; free() deletes those that the caller no longer reads. Shuffle files of the
-    steps before are released at each keep(), by asking the driver's JVM to collect its garbage.
+    steps before are released at each keep(), by asking the driver's JVM to collect its garbage. A result read lazily still
+    needs the tables it was made from: who has written it elsewhere deletes them by sweep(), with a mark() set before.
     """
 
+    made: ClassVar[list[Scratch]] = []
+
     def __init__(self, spark: SparkSession):
         ship(spark)
         self.spark, self.paths = spark, {}
+        Scratch.made.append(self)
+
+    @staticmethod
+    def mark() -> int:
+        return len(Scratch.made)
+
+    @staticmethod
+    def sweep(mark: int) -> None:
+        """Deletes all tables of those made since the mark."""
+        for scratch in Scratch.made[mark:]:
+            scratch.free()
+        del Scratch.made[mark:]
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{shared_dir(self.spark)}/fairlead/{name}-{uuid.uuid4().hex}"
