@@ -12,8 +12,8 @@ the rest's size are left, the error is under the least of them). Of each size's
 hashes are taken. They are counted in 4,096 ranges of the hash; only the documents of the one range in which a
 size's number runs out are ranked, so no task ranks a hot group.
 
-The driver sees one row per source (the recipe, so sources must be a list that a driver holds, not hosts); a source's
-counts, one row per size, are fitted by one task.
+The driver sees one row per source and broadcasts them as the recipe: at most MOST_SOURCES, more are an error (weights go by the
+sources' order, so hosts or users make no sense as sources). A source's counts, one row per size, are fitted by one task.
 
 Defined results: documents without words have size 0 and take 0 (as a pipeline stage they stay once); a null
 source is a source; rows with equal doc_id, source and size are interchangeable in the query, and told apart by their text in
@@ -36,6 +36,7 @@ SHARE = 1.5
 MOST = 2
 DP_WORDS = 1 << 15
 RANGES = 4096
+MOST_SOURCES = 100_000
 
 
 def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> dict[str | None, float]:
@@ -104,7 +105,9 @@ def fitted(spark: SparkSession, rows: DataFrame, scratch: Scratch, seed: int, we
     sizes = {r.src: r.n for r in rows.groupBy("src").agg(F.sum("size").alias("n")).collect()}
     goal = {("null" if k is None else f"={k}"): v for k, v in targets({None if k == "null" else k[1:]: v for k, v in sizes.items()}, weights, share).items()}
     recipe = [(k, n, goal[k], min(int(goal[k] // n), MOST) if n else 0) for k, n in sizes.items()]
-    recipe = spark.createDataFrame(recipe, "src string, source_size long, target double, full long")
+    if len(recipe) > MOST_SOURCES:
+        raise ValueError(f"{len(recipe)} sources; a recipe has at most {MOST_SOURCES}")
+    recipe = F.broadcast(spark.createDataFrame(recipe, "src string, source_size long, target double, full long"))
     budgets = recipe.selectExpr("src", "cast(round(target - full * source_size) AS long) AS budget")
 
     def chosen(part: pd.DataFrame) -> pd.DataFrame:
@@ -122,7 +125,7 @@ def fitted(spark: SparkSession, rows: DataFrame, scratch: Scratch, seed: int, we
 
 def taken(rows: DataFrame, recipe: DataFrame, cut: DataFrame, order: list[Column]) -> DataFrame:
     """rows(src, size, range, ...) with source_size, target and copies."""
-    both = rows.join(cut, ["src", "size"], "left").join(recipe, "src")
+    both = rows.join(cut, ["src", "size"], "left").join(recipe, "src")  # the recipe is broadcast, so no source's rows meet in one task
     clear = both.where("last IS NULL OR range <> last").withColumn("copies", F.expr("full + IF(range < last, 1, 0)"))
     rank = F.row_number().over(Window.partitionBy("src", "size").orderBy(*order))
     ranked = both.where("range = last").withColumn("rank", rank).withColumn("copies", F.expr("full + IF(rank <= most, 1, 0)")).drop("rank")
