@@ -1,7 +1,7 @@
 """Personal data in texts: patterns propose spans, checksums confirm them, context words adjust the score.
 
-Every kind has a pattern, a validator and a base score; context words in the 40 characters before a span (back to the match before it at most) add to
-its score, and spans of at least THRESHOLD stay. E-mail, IP, card (Luhn) and phone spans that pass their validator
+Every kind has a pattern, a validator and a base score; context words in the 40 characters before or after a span (as far as the
+neighbouring matches of its kind at most) add to its score, and spans of at least THRESHOLD stay. E-mail, IP, card (Luhn) and phone spans that pass their validator
 start above the threshold, so context only raises their score; IBANs are confirmed by mod-97; national ids
 stand only beside a context word. Matching is leftmost and non-overlapping for each kind, and a match that fails
 validation isn't retried.
@@ -26,12 +26,12 @@ CONTEXT = 40
 
 #: Kind, Java pattern, plain pattern, base score, context words.
 KINDS = (
-    ("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", 0.8, "mail|contact|write"),
-    ("ip", r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", 0.6, "ip|server|host|address"),
-    ("card", r"[0-9](?:[\x20-]?[0-9])++", r"[0-9]([\x20-]?[0-9])+", 0.7, "card|visa|credit|payment"),
-    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]", 0.6, "phone|call|tel|mobile"),
-    ("iban", r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}", r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}", 0.7, "iban|account|bank"),
-    ("id", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", 0.4, "ssn|social|security|passport"),
+    ("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", 0.8, "mail|contact|write|reach|inbox|correo|courriel"),
+    ("ip", r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", 0.6, "ip|server|host|address|login|network"),
+    ("card", r"[0-9](?:[\x20-]?[0-9])++", r"[0-9]([\x20-]?[0-9])+", 0.7, "card|visa|credit|payment|amex|mastercard|karte|tarjeta|carte"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]", 0.6, "phone|call|tel|mobile|fax|whatsapp|telefon"),
+    ("iban", r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}", r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}", 0.7, "iban|account|bank|konto|cuenta|compte|swift"),
+    ("id", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", 0.4, "ssn|social|security|passport|tax|national id|identity"),
 )
 BASE = ("email", "ip", "card", "phone")
 PART = "0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
@@ -63,7 +63,7 @@ def find(docs: DataFrame) -> DataFrame:
         ends = f"aggregate({total}, cast(array() AS array<bigint>), (a, n) -> concat(a, array(coalesce(try_element_at(a, -1), 0L) + n)))"
         out = out.withColumn(f"e_{kind}", F.expr(f"CASE WHEN size(m_{kind}) > 0 THEN {ends} END"))
     for kind, _, _, score, words in KINDS:
-        found = f"transform(m_{kind}, (v, i) -> struct(v, e_{kind}[i] - char_length(v) AS s, e_{kind}[i] AS e, {score}D + IF(regexp_like(lower(right(g_{kind}[i], {CONTEXT})), '{words}'), 0.2D, 0D) AS score))"
+        found = f"transform(m_{kind}, (v, i) -> struct(v, e_{kind}[i] - char_length(v) AS s, e_{kind}[i] AS e, {score}D + IF(regexp_like(lower(right(g_{kind}[i], {CONTEXT})), '{words}') OR regexp_like(lower(left(g_{kind}[i + 1], {CONTEXT})), '{words}'), 0.2D, 0D) AS score))"
         kept = f"filter({found}, x -> x.score >= {THRESHOLD}D AND ({VALID[kind].replace('(v,', '(x.v,').replace('(v)', '(x.v)')}))"
         out = out.withColumn(f"s_{kind}", F.expr(f"CASE WHEN size(m_{kind}) > 0 THEN {kept} ELSE array() END"))
     def text(k):
@@ -91,9 +91,9 @@ def _sql() -> str:
     parts, names = [], [k for k, *_ in KINDS]
     for order, (kind, _, pattern, score, words) in enumerate(KINDS):
         parts.append(f"""m{order} AS (SELECT r, regexp_extract_all(text, '{pattern}') AS m, regexp_split_to_array(text, '{pattern}') AS g FROM d),
-p{order} AS (SELECT r, unnest(m) AS v, unnest(list_slice(g, 1, len(m))) AS gap, unnest(range(len(m))) AS i FROM m{order} WHERE len(m) > 0),
-q{order} AS (SELECT r, v, gap, sum(length(v) + length(gap)) OVER (PARTITION BY r ORDER BY i)::bigint AS e FROM p{order}),
-s{order} AS (SELECT r, {order} AS k, e - length(v) AS s, '{kind}:' || (e - length(v)) || ':' || e AS span, {score} + CASE WHEN regexp_matches(lower(right(gap, {CONTEXT})), '{words}') THEN 0.2 ELSE 0 END AS score FROM q{order} WHERE {valid[kind]})""")
+p{order} AS (SELECT r, unnest(m) AS v, unnest(list_slice(g, 1, len(m))) AS gap, unnest(list_slice(g, 2, len(m) + 1)) AS after, unnest(range(len(m))) AS i FROM m{order} WHERE len(m) > 0),
+q{order} AS (SELECT r, v, gap, after, sum(length(v) + length(gap)) OVER (PARTITION BY r ORDER BY i)::bigint AS e FROM p{order}),
+s{order} AS (SELECT r, {order} AS k, e - length(v) AS s, '{kind}:' || (e - length(v)) || ':' || e AS span, {score} + CASE WHEN regexp_matches(lower(right(gap, {CONTEXT})), '{words}') OR regexp_matches(lower(left(after, {CONTEXT})), '{words}') THEN 0.2 ELSE 0 END AS score FROM q{order} WHERE {valid[kind]})""")
     every = " UNION ALL ".join(f"SELECT * FROM s{i}" for i in range(len(names)))
     counts = ", ".join(f"count(span) FILTER (k = {i}) AS n_{k}" for i, k in enumerate(BASE))
     return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),

@@ -350,7 +350,7 @@ def plain_spans(text):
 
 
 def test_pii(spark):
-    texts = [None, "", "é\U0001f600 a@b.c_x@d.e.f y@z", "1.2.3.4 256.1.1.1 1.2.3.4.5.6.7.8 0001.2.3.255", "4111 1111 1111 1111 and 4111-1111-1111-1112", "+1 (706) 555-3138 +1 2 +12345678901234567890", "GB82WEST12345698765432 GB83WEST12345698765432", "ssn 123-45-6789, 123-45-6789" + " " * 50 + "123-45-6789", "9" * 30_000 + "@", "a" * 30_000 + "@" + "b." * 5000 + "c"]
+    texts = [None, "", "é\U0001f600 a@b.c_x@d.e.f y@z", "1.2.3.4 256.1.1.1 1.2.3.4.5.6.7.8 0001.2.3.255", "4111 1111 1111 1111 and 4111-1111-1111-1112", "+1 (706) 555-3138 +1 2 +12345678901234567890", "GB82WEST12345698765432 GB83WEST12345698765432", "ssn 123-45-6789, 123-45-6789" + " " * 50 + "123-45-6789", "123-45-6789 is my tax number", "9" * 30_000 + "@", "a" * 30_000 + "@" + "b." * 5000 + "c"]
     docs = spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(texts)], "doc_id long, text string, spans string, v string")
     got = {r.doc_id: r for r in pii.find(docs).collect()}
     for i, t in enumerate(texts):
@@ -359,7 +359,8 @@ def test_pii(spark):
         assert got[i].base_sha256 == hashlib.sha256(",".join(spans).encode()).hexdigest()
         assert [got[i][f"n_{k}"] for k in pii.BASE] == [sum(s.startswith(k + ":") for s in spans) for k in pii.BASE]
     assert "iban:0:22" in got[6].spans and "iban:23" not in got[6].spans
-    assert got[7].spans == "id:4:15"  # the others have no context word since the match before
+    assert got[7].spans == "id:4:15"  # the others have no context word between the matches beside them
+    assert got[8].spans == "id:0:11" and got[8].scores == "0.6"
 
 
 def test_targets():
