@@ -23,22 +23,19 @@ from fairlead.operators.grid import QuadGrid
 
 @dataclass(frozen=True)
 class Cascade:
-    """Thresholds in degrees of the levels above the leaf level, and the level on which zones are looked up."""
+    """Thresholds in degrees of the levels above the leaf level, and the level on which zones are looked up.
 
-    thresholds: tuple[tuple[int, float], ...] = ((0, 4.0), (1, 2.0), (2, 1.0))
-    leaf: int = 3
-    zone: int = 1
+    By default the whole globe, from 1 degree down to 1/1024. The survey's thresholds belong to a grid whose cells shrink by the
+    square root of 7 a level; each level here takes that of the finest survey level whose cells, by area, are no smaller.
+    """
+
+    thresholds: tuple[tuple[int, float], ...] = ((0, 0.30), (1, 0.30), (2, 0.15), (3, 0.05), (4, 0.05), (5, 0.025), (6, 0.012), (7, 0.012), (8, 0.005), (9, 0.002))
+    leaf: int = 10
+    zone: int = 3
     grid: QuadGrid = field(default_factory=QuadGrid)
 
 
-#: The whole globe, from 1 degree down to 1/1024. The survey's thresholds belong to a grid whose cells shrink by the square
-#: root of 7 a level; each level here takes that of the finest survey level whose cells, by area, are no smaller.
-PLANET = Cascade(
-    thresholds=((0, 0.30), (1, 0.30), (2, 0.15), (3, 0.05), (4, 0.05), (5, 0.025), (6, 0.012), (7, 0.012), (8, 0.005), (9, 0.002)),
-    leaf=10,
-    zone=3,
-    grid=QuadGrid(-180.0, -90.0, 1.0, 360, 180),
-)
+PLANET = Cascade()
 
 
 def coast_clearance(cells: DataFrame, coast: DataFrame, grid: QuadGrid, radius: float) -> DataFrame:

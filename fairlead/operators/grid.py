@@ -21,11 +21,11 @@ MASK = (1 << SHIFT) - 1
 
 @dataclass(frozen=True)
 class QuadGrid:
-    x0: float = -176.0
-    y0: float = -72.0
-    base: float = 8.0
-    nx: int = 44
-    ny: int = 18
+    x0: float = -180.0
+    y0: float = -90.0
+    base: float = 1.0
+    nx: int = 360
+    ny: int = 180
 
     @property
     def wraps(self) -> bool:

@@ -15,7 +15,7 @@ from fairlead.operators.cascade import Cascade, cascade_cells
 from fairlead.operators.grid import QuadGrid
 from fairlead.operators.subtract import Land
 
-CONFIG = Cascade(thresholds=((0, 4.0), (1, 2.0)), leaf=2, zone=0, grid=QuadGrid(base=4.0, nx=88, ny=36))
+CONFIG = Cascade(thresholds=((0, 4.0), (1, 2.0)), leaf=2, zone=0, grid=QuadGrid(-176.0, -72.0, 4.0, 88, 36))
 GRID = CONFIG.grid
 EXTRA = ((100, -120.25, -40.0, -119.75, -20.0), (101, 84.0, -8.0, 104.0, -6.0), (102, 84.0, 10.0, 104.0, 12.0), (103, 84.0, -6.0, 86.0, 10.0), (104, 102.0, -6.0, 104.0, 10.0))
 _built: dict[tuple[str, str, str], DataFrame] = {}

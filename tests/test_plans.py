@@ -8,8 +8,10 @@ from pathlib import Path
 import pytest
 
 from fairlead.__main__ import main
+from fairlead.operators import graph, spatial
 from fairlead.operators.cascade import PLANET, Cascade
 from fairlead.operators.grid import QuadGrid
+from fairlead.operators.subtract import Land
 from fairlead.plans import build, passages, registry, routes
 from fairlead.sources import archive, graph_store, shapefile
 from fairlead.streaming import routes as stream
@@ -46,6 +48,18 @@ def test_route(spark, built, tmp_path):
     assert sorted((r.req_id, r.status) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [(1, 200), (2, 200), (3, 400), (4, 400), (5, 200)]
 
 
+def test_default_grid(spark):
+    """Open ocean at the equator, at the seam and at a pole, on the default grid: every edge can be stored."""
+    config, none = Cascade(), spark.createDataFrame([], "poly_id int, rings array<array<struct<x:double,y:double>>>")
+    land = Land(spatial.land_shapes(none), spatial.coast_edges(none))
+    grid = config.grid
+    cells = grid.all_cells(spark).where(grid.ix("cell").isin(0, 359) & (grid.iy("cell") == 90))  # two, across the seam
+    for where in ((0.1, 0.1, 3.9, 2.9), (10.1, 88.5, 12.5, 89.9)):  # 4 x 3 and 3 x 2
+        cells = cells.unionByName(grid.all_cells(spark, box=where))
+    edges = graph.graph_edges(cells, land, grid)
+    assert edges.count() == 1 + 29 + 11 and edges.agg({"weight_cnm": "max"}).first()[0] < 9000
+
+
 def test_archive(tmp_path):
     with zipfile.ZipFile(tmp_path / "z.zip", "w") as z:
         z.writestr("deep/a.shp", b"1")
