@@ -151,7 +151,8 @@ def requests(spark, sf_dir):
 
 def routed(spark, sf_dir):
     held = routes.chart(sea.nodes(spark, sf_dir), sea.edge_rows(spark, sf_dir), sea.coast(spark, sf_dir))
-    return routes.route(spark, requests(spark, sf_dir).repartitionByRange(spark.sparkContext.defaultParallelism, "to_lat", "to_lon", "req_id"), held, sea.GRID, routes.snap_rule(sea.GRID, range(3)))
+    asked = requests(spark, sf_dir).repartitionByRange(4 * spark.sparkContext.defaultParallelism, "to_lat", "to_lon", "req_id").sortWithinPartitions("to_lat", "to_lon", "req_id")
+    return routes.route(spark, asked, held, sea.GRID, routes.snap_rule(sea.GRID, range(3)))
 
 
 @query()

@@ -1,8 +1,9 @@
-"""Batches of route requests: a DataFrame in, a DataFrame out, the search in Arrow kernels.
+"""Batches of route requests: a DataFrame in, a DataFrame out, answered on the JVM; single searches in Arrow kernels.
 
-The chart (nodes, adjacency and coast) is broadcast and held by each Python worker, so its bytes are reckoned from counted rows
-before any is collected: a chart over MOST_BYTES is refused with an error that says so. It takes NODE_BYTES a node,
-EDGE_BYTES a directed edge and COAST_BYTES a coast segment, on a grid with 8 neighbours about 0.1 GB for a million nodes.
+The chart (nodes, adjacency and coast) is broadcast: for routes one copy for each executor, for the Arrow kernels one for each
+Python worker. Its bytes are reckoned from counted rows before any is collected: a chart over MOST_BYTES is refused with an error
+that says so. It takes NODE_BYTES a node, EDGE_BYTES a directed edge and COAST_BYTES a coast segment, on a grid with 8 neighbours
+about 0.1 GB for a million nodes.
 """
 
 from __future__ import annotations
@@ -19,10 +20,10 @@ from fairlead.functions import geo
 from fairlead.functions.tables import ship
 from fairlead.operators import kernel
 from fairlead.operators.grid import QuadGrid
+from fairlead.operators.router import router
 
 MOST_BYTES = 4 << 30
 NODE_BYTES, EDGE_BYTES, COAST_BYTES = 34, 8, 88
-RESULT = "distance_nm double, raw_hops int, smooth_hops int, coordinates array<array<double>>, land_legs array<int>"
 
 
 def snap_rule(grid: QuadGrid, levels: range) -> kernel.SnapRule:
@@ -53,33 +54,17 @@ def chart(nodes: DataFrame, edges: DataFrame, coast: DataFrame) -> kernel.Chart:
 def route(spark: SparkSession, requests: DataFrame, held: kernel.Chart, grid: QuadGrid, rule: kernel.SnapRule) -> DataFrame:
     """requests(req_id, from_lat, from_lon, to_lat, to_lon, shore_buffer_nm) with result (null if there is no way) and error.
 
-    Errors: 400 for a position or buffer out of range, 404 for no way.
+    Errors: 400 for a position or buffer out of range, 404 for no way. Requests to one goal that follow each other share estimates.
     """
-    ship(spark)
-    shared = spark.sparkContext.broadcast(held)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        snap = kernel.Snapper(shared.value, grid, rule)
-        for batch in batches:
-            out, error = [], []
-            for r in batch.to_pylist():
-                if not r["valid"]:
-                    out.append(None)
-                    error.append("400")
-                    continue
-                out.append(kernel.route(shared.value, snap, r["from_lat"], r["from_lon"], r["to_lat"], r["to_lon"], r["shore_buffer_nm"]))
-                error.append("404" if out[-1] is None else None)
-            kind = pa.struct([("distance_nm", pa.float64()), ("raw_hops", pa.int32()), ("smooth_hops", pa.int32()), ("coordinates", pa.list_(pa.list_(pa.float64()))), ("land_legs", pa.list_(pa.int32()))])
-            names = ["req_id", "from_lat", "from_lon", "to_lat", "to_lon", "shore_buffer_nm"]
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(out, kind), pa.array(error, pa.string())], names=[*names, "result", "error"])
-
     asked = requests.selectExpr("cast(req_id AS long) AS req_id", *(f"cast({c} AS double) AS {c}" for c in ("from_lat", "from_lon", "to_lat", "to_lon")), "coalesce(cast(shore_buffer_nm AS double), 0D) AS shore_buffer_nm")
     good = F.lit(True)
     for c, limit in (("from_lat", 90.0), ("to_lat", 90.0), ("from_lon", 180.0), ("to_lon", 180.0)):
         good = good & F.coalesce(F.col(c).between(-limit, limit), F.lit(False))
     asked = asked.withColumn("valid", good & geo.valid_buffer("shore_buffer_nm"))
-    schema = f"req_id long, from_lat double, from_lon double, to_lat double, to_lon double, shore_buffer_nm double, result struct<{RESULT.replace(' double', ':double').replace(' int', ':int').replace(' array', ':array')}>, error string"
-    return asked.mapInArrow(run, schema)
+    ends = ("from_lat", "from_lon", "to_lat", "to_lon", "shore_buffer_nm")
+    found = asked.withColumn("result", F.when(F.col("valid"), router(spark, held, grid, rule)(*ends)))
+    error = F.when(~F.col("valid"), "400").when(F.col("result").isNull(), "404")
+    return found.select("req_id", *ends, "result", error.alias("error"))
 
 
 def response(routed: DataFrame) -> DataFrame:
