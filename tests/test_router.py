@@ -1,5 +1,6 @@
 """Routes answered on the JVM, against kernel.route on the same chart."""
 
+import json
 import math
 
 import numpy as np
@@ -80,17 +81,43 @@ def test_without_nodes_or_coast(spark):
     assert None not in agree(spark, sea(LOCAL, range(20), range(9), np.zeros((0, 4)), rng), LOCAL, RULE, low, high, rng, 20)
 
 
-def test_route_distance_stays_on_the_jvm(spark, monkeypatch):
-    """No request passes through Python, and those to one goal follow each other."""
+@pytest.fixture
+def sea_of_test(spark, monkeypatch):
+    """The named queries get this chart and these requests."""
     rng = np.random.default_rng(2)
     chart = sea(queries_graph.sea.GRID, range(0, 88, 8), range(0, 36, 6), [(0.0, -60.0, 0.0, 60.0)], rng)
+    asked = [(i, i % 90 - 45.0, i % 170 - 85.0, i % 3 * 10.0, i % 4 * 20.0, 0.0) for i in range(400)]
     monkeypatch.setattr(routes, "chart", lambda *_: chart)
     for table in ("nodes", "edge_rows", "coast"):
         monkeypatch.setattr(queries_graph.sea, table, lambda *_: None)
-    asked = [(i, i % 90 - 45.0, i % 170 - 85.0, i % 3 * 10.0, i % 4 * 20.0, 0.0) for i in range(400)]
     monkeypatch.setattr(queries_graph, "requests", lambda *_: spark.createDataFrame(asked, stream.REQUESTS))
-    found = queries_graph.route_distance(spark, "")
+    return chart, asked
+
+
+def on_the_jvm(found):
     plan = found._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "InArrow" not in plan
+    return "Python" not in plan and "InArrow" not in plan
+
+
+def test_route_distance_stays_on_the_jvm(spark, sea_of_test):
+    """No request passes through Python, and those to one goal follow each other."""
+    found = queries_graph.route_distance(spark, "")
+    assert on_the_jvm(found)
     goals = [[(r.to_lat, r.to_lon) for r in part] for part in queries_graph.routed(spark, "").select("to_lat", "to_lon").rdd.glom().collect()]
     assert all(part == sorted(part) for part in goals) and sum(map(len, goals)) == 400 == found.count()
+
+
+def test_route_response_stays_on_the_jvm(spark, sea_of_test):
+    """No request passes through Python, and the bodies are those of kernel.route."""
+    chart, asked = sea_of_test
+    found = queries_graph.route_response(spark, "")
+    assert on_the_jvm(found)
+    snap, got = kernel.Snapper(chart, queries_graph.sea.GRID, routes.snap_rule(queries_graph.sea.GRID, range(3))), {r.req_id: r for r in found.collect()}
+    assert len(got) == len(asked) and {r.status for r in got.values()} == {200, 404}
+    for r in asked:
+        w, body = kernel.route(chart, snap, *r[1:]), json.loads(got[r[0]].body)
+        if w is None:
+            assert got[r[0]].status == 404 and body == {"error": "no route found"}
+            continue
+        assert abs(body.pop("distance_nm") - w["distance_nm"]) < 0.0501
+        assert body == {"raw_hops": w["raw_hops"], "smooth_hops": w["smooth_hops"], "land_legs": w["land_legs"], "shore_buffer_nm": 0.0, "geometry": {"type": "LineString", "coordinates": w["coordinates"]}}
