@@ -60,5 +60,5 @@ def router(spark: SparkSession, chart: kernel.Chart, grid: QuadGrid, rule: kerne
         arrays_file(f"{folder}/arrays", arrays(chart, grid, rule))
         function.hold(context._jsc.broadcast(function.read(f"{folder}/arrays")))
     kind = spark._jsparkSession.parseDataType(StructType.fromDDL(RESULT).json())
-    routed = context._jvm.org.apache.spark.sql.functions.udf(function, kind).asNondeterministic()  # so that it runs once a row
+    routed = function.function(kind)
     return lambda *columns: JvmColumn(routed.apply(_to_seq(context, columns, _to_java_column)))
